@@ -38,12 +38,14 @@ from gristmill.llm.textkernel import SALT, U, Words, grams, mix, slices, utf8
 
 N = 5
 #: Shingles with a hash below this are counted.
-SHARE = 0.3
+SHARE = 0.25
 LIMIT = U(int(SHARE * 2**64))
 #: A shingle of so many sets is frequent; at most HOT_MOST, the most frequent, are listed (8 MB).
 HOT_LEAST, HOT_MOST = 64, 1_000_000
 #: Bits of the bitmap of shingles that occur twice (8 MB), in chunks.
 BITMAP_BITS, CHUNKS = 1 << 26, 64
+#: Cells of a set's count vector, which bounds overlaps from above.
+CELLS = 256
 #: Entries of a list that one task of the last round takes at most; longer lists are dealt into parts.
 LIST_MOST = 20_000
 #: Prefix shingles of one bucket of lists, about.
@@ -117,7 +119,7 @@ def _bitmap(counts: DataFrame) -> np.ndarray:
 
 
 def _sets(texts_of: DataFrame) -> DataFrame:
-    """doc_id, n, sig of every row; text, tokens and positions for the first of each distinct set in a task that may link."""
+    """doc_id, th, n, sig of every row; tokens, places and cells for the first of each distinct set in a task that may link."""
     spark = texts_of.sparkSession
     counts = cut(texts_of.select("text").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
     hot = [tuple(r) for r in counts.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "token").limit(HOT_MOST).collect()]  # HOT_MOST rows at most
@@ -129,14 +131,14 @@ def _sets(texts_of: DataFrame) -> DataFrame:
         hot_tokens, hot_rank, bitmap = shared.value
         seen: set[int] = set()
         for batch in batches:
-            texts = utf8(batch.column(1))
-            size, sigs, body, tokens, places = [], [], [], [], []
-            for i, s in enumerate(shingle_sets(texts)):
+            texts = utf8(batch.column("text"))
+            size, sigs, cells, tokens, places = [], [], [], [], []
+            for s in shingle_sets(texts):
                 n = len(s)
                 sig = _mix_sum(s) if n else None
                 size.append(n)
                 sigs.append(sig if sig is None or sig < 1 << 63 else sig - (1 << 64))
-                body.append(None)
+                cells.append(None)
                 tokens.append(None)
                 places.append(None)
                 if not n or sig in seen:
@@ -156,13 +158,14 @@ def _sets(texts_of: DataFrame) -> DataFrame:
                 at = ((bit % U(CHUNKS)) * U(BITMAP_BITS // CHUNKS) + bit // U(CHUNKS)).astype(np.int64)
                 twice = (first >= cold) | ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
                 if twice.any():
-                    body[-1] = texts[i].decode()
+                    c = np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                    cells[-1] = c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes()
                     tokens[-1] = t[twice].tobytes()
                     places[-1] = np.flatnonzero(twice).astype(np.uint32).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sigs, pa.int64()), pa.array(body, pa.string()), pa.array(tokens, pa.binary()), pa.array(places, pa.binary())], names=["doc_id", "n", "sig", "text", "tokens", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(size, pa.int64()), pa.array(sigs, pa.int64()), pa.array(cells, pa.binary()), pa.array(tokens, pa.binary()), pa.array(places, pa.binary())], names=["doc_id", "th", "n", "sig", "cells", "tokens", "places"])
 
     kind = texts_of.schema["doc_id"].dataType.simpleString()
-    return cut(texts_of.mapInArrow(run, f"doc_id {kind}, n long, sig long, text string, tokens binary, places binary"), "sets")
+    return cut(texts_of.mapInArrow(run, f"doc_id {kind}, th long, n long, sig long, cells binary, tokens binary, places binary"), "sets")
 
 
 #: Columns of an index list: shingle, set, size, position, component.
@@ -204,7 +207,9 @@ def star_pairs(x: dict[str, np.ndarray], largest: bool) -> np.ndarray:
         hub = np.searchsorted(key | x["n"], key | (x["n"] * 100 // 80), side="right") - 1
     else:
         hub = np.searchsorted(key | x["n"], key | needed(x["n"]))
-    other = x["label"][hub] != x["label"]
+    n, m = x["n"], x["n"][hub]
+    room = np.minimum(n - x["place"], m - x["place"][hub])  # what the sets can still share from here on
+    other = (x["label"][hub] != x["label"]) & (room >= -(-80 * (n + m) // 180))
     pairs = np.stack([x["sig"][hub][other], x["sig"][other]], axis=1)
     return np.unique(np.sort(pairs, axis=1), axis=0)
 
@@ -319,32 +324,54 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    texts = sets.select("sig", "text")
-    one = pairs.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, cells_a, cells_b, ..) whose count vectors allow the overlap needed."""
+
+    def counts(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, np.uint8 if len(x) == CELLS else np.uint32)
+
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("cells_a").to_pylist(), batch.column("cells_b").to_pylist(), strict=True):
+            x, y = counts(x), counts(y)
+            both = int(np.minimum(x, y).sum())
+            keep.append(100 * both >= 80 * (int(x.sum()) + int(y.sum()) - both))
+        names = ["a", "doc_a", "th_a", "b", "doc_b", "th_b"]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).filter(pa.array(keep, pa.bool_()))
+
+
+def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
+    """Those of pairs that link: count vectors first, then whole texts of what is left."""
+    one = sets.dropDuplicates(["sig"])
+    of = lambda x: one.select(F.col("sig").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("th").alias(f"th_{x}"), F.col("cells").alias(f"cells_{x}"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    left = pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(_possible, f"a long, doc_a {kind}, th_a long, b long, doc_b {kind}, th_b long")
+    left = cut(left, f"possible_{tag}")
+    wanted = left.select(F.col("a").alias("sig"), F.col("doc_a").alias("d"), F.col("th_a").alias("t")).unionAll(left.select("b", "doc_b", "th_b")).distinct()
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["th"] == wanted["t"])).select("sig", "text").dropDuplicates(["sig"])
+    both = left.select("a", "b").join(found.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.join(found.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a")
+    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), f"links_{tag}")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     rows = _sets(texts)
-    sets = rows.where("text is not null").dropDuplicates(["sig"])
-    sets = cut(sets.select("sig", "n", "text", "tokens", "places"), "linkable")
+    sets = rows.where("tokens is not null")
     total = sets.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
     buckets = max(12, int(total) // BUCKET + 1)
-    links = None
-    labels = None
-    for mode in ("smallest", "largest", "across"):
-        labelled = sets.withColumn("label", F.col("sig")) if labels is None else sets.join(labels.select(F.col("u").alias("sig"), F.col("v").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        if labels is not None:
-            labelled = cut(labelled.drop("text"), "labelled")
-        pairs = _across(labelled, buckets) if mode == "across" else _candidates(labelled, mode, buckets)
-        new = cut(_links(pairs, sets), f"links_{mode}")
+    links = labels = None
+    for tag in ("smallest", "largest", "across"):
+        if labels is None:
+            labelled = sets.withColumn("label", F.col("sig"))
+        else:
+            labelled = sets.join(labels.select(F.col("u").alias("sig"), F.col("v").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        pairs = _across(labelled, buckets) if tag == "across" else _candidates(labelled, tag, buckets)
+        new = _links(pairs, sets, texts, tag)
         links = new if links is None else links.unionAll(new)
         labels = components(links)
-    narrow = rows.select("doc_id", "n", "sig").join(labels.select(F.col("u").alias("sig"), F.col("v").alias("label")), "sig", "left")
-    narrow = narrow.withColumn("label", F.coalesce("label", "sig"))
-    least = narrow.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return narrow.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = rows.select("doc_id", "n", "sig").join(labels.select(F.col("u").alias("sig"), F.col("v").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
