@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import jaccard, packing, quality, repeats
+from gristmill.llm import jaccard, mixing, packing, quality, repeats
 from gristmill.llm._util import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,12 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(read(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("th")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_quality_rules, op5_suffix_array_dedup, op10_ngram_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_quality_rules, op5_suffix_array_dedup, op9_mixing, op10_ngram_jaccard)}

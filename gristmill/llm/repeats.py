@@ -86,20 +86,25 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes before (reversed) and after each repeated anchor."""
+    kinds = {"doc_id": pa.int64(), "th": pa.int64(), "place": pa.int64(), "h": pa.int64(), "frequent": pa.bool_(), "before": pa.binary(), "after": pa.binary()}
+    rows: dict[str, list] = {c: [] for c in kinds}
+
+    def full() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pydict({c: pa.array(rows[c], t) for c, t in kinds.items()})
+        for x in rows.values():
+            x.clear()
+        return out
+
     for batch in batches:
-        rows: dict[str, list] = {c: [] for c in ("doc_id", "th", "place", "h", "frequent", "before", "after")}
-        lists = batch.column("found").to_pylist()
-        for doc, th, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), utf8(batch.column("text")), lists, strict=True):
-            for x in found:
+        for doc, th, value, found in zip(*(batch.column(c) for c in ("doc_id", "th", "text", "found")), strict=True):
+            doc, th, text = doc.as_py(), th.as_py(), value.as_py().encode()
+            for x in found.as_py():
                 p = x["place"]
-                rows["doc_id"].append(doc)
-                rows["th"].append(th)
-                rows["place"].append(p)
-                rows["h"].append(x["h"])
-                rows["frequent"].append(x["frequent"])
-                rows["before"].append(text[max(0, p - SIDE) : p][::-1])
-                rows["after"].append(text[p + GRAM : p + LENGTH])
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rows["doc_id"], pa.int64()), "th": pa.array(rows["th"], pa.int64()), "place": pa.array(rows["place"], pa.int64()), "h": pa.array(rows["h"], pa.int64()), "frequent": pa.array(rows["frequent"], pa.bool_()), "before": pa.array(rows["before"], pa.binary()), "after": pa.array(rows["after"], pa.binary())})
+                for c, v in zip(kinds, (doc, th, p, x["h"], x["frequent"], text[max(0, p - SIDE) : p][::-1], text[p + GRAM : p + LENGTH]), strict=True):
+                    rows[c].append(v)
+            if len(rows["h"]) >= BUCKET:
+                yield full()
+    yield full()
 
 
 def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +298,7 @@ def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST) -> tuple[DataF
     spans = dealt.groupBy("bucket").applyInArrow(_bucket, _SPAN)
     if hot:
         spans = spans.unionAll(_frequent(contexts.where("frequent"), max(12, hot * (SIDE + 1) // HOT_BUCKET + 1)))
-    spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     return texts.select("doc_id", "th", "text"), spans
 
 

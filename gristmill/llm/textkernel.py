@@ -15,7 +15,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Bytes handled at once; a longer text is handled alone.
-SLICE = 3 << 20
+SLICE = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
