@@ -3,13 +3,14 @@
 A document's set holds its distinct five-word shingles, as 64-bit hashes.  Sets x and y link if 100|x & y| >= 80|x | y|.
 
 Plan (D: documents, S: distinct sets):
- 1. Shingles in the lowest SHARE of the hash range are counted over all distinct sets, combined before one shuffle.
-    The most frequent form a list of at most HOT_MOST; all that occur twice mark a bitmap of fixed size.
+ 1. Shingles in the lowest SHARE of the hash range are counted over all distinct sets, combined before one shuffle; so are
+    the others of those sets that hold too few rare ones of these.  The most frequent form a list of at most HOT_MOST; all
+    that occur twice mark a bitmap of fixed size.
     Both only steer the order of shingles and the skipping of singletons: results are the same whatever they hold.
  2. Shingles of a set are ordered: counted and rare, uncounted, frequent.  Linked sets share a shingle of their first
     n - ceil(0.8 n) + 1; those of them that occur once are left out, and a set with none left has no links.
  3. Index lists, one for each prefix shingle, are formed by bucket and ordered by set size and position.
-    Star rounds: each member is compared with one hub of its list, the smallest, then the largest, of fitting size.  Before the
+    Star rounds: each member is compared with one hub of its list, the smallest or largest of fitting size, or one drawn.  Before the
     shuffle each block of sets does this for itself and passes on only its members of a list's extreme sizes.
     Members that link to a hub take its answer, its component; pairs within a component are never compared.
  4. Last round: members of lists that still hold several components are compared across these.  A list's rows are skipped
@@ -34,16 +35,20 @@ from pyspark.sql import functions as F
 
 from gristmill.llm._util import cut
 from gristmill.llm.components import components
-from gristmill.llm.textkernel import SALT, U, Words, grams, mix, slices, utf8
+from gristmill.llm.textkernel import SALT, U, Words, grams, mix, parts, slices, utf8
 
 N = 5
 #: Shingles with a hash below this are counted.
 SHARE = 0.25
 LIMIT = U(int(SHARE * 2**64))
 #: A shingle of so many sets is frequent; at most HOT_MOST, the most frequent, are listed (8 MB).
-HOT_LEAST, HOT_MOST = 64, 1_000_000
+HOT_LEAST, HOT_MOST = 24, 1_000_000
 #: Bits of the bitmap of shingles that occur twice (8 MB), in chunks.
 BITMAP_BITS, CHUNKS = 1 << 26, 64
+#: Star rounds by kind of hub, then the exact one.
+ROUNDS = ("smallest", "drawn1", "drawn2", "across")
+#: Hubs that a drawn round compares each member with.
+DRAWN = 6
 #: Cells of a set's count vector, which bounds overlaps from above.
 CELLS = 256
 #: Entries of a list that one task of the last round takes at most; longer lists are dealt into parts.
@@ -74,17 +79,59 @@ def needed(n: np.ndarray | int) -> np.ndarray | int:
     return (80 * n + 99) // 100
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for batch in batches:
-        found = []
-        for s in shingle_sets(utf8(batch.column(0))):
-            if len(s) and (sig := _mix_sum(s)) not in seen:
+def _signed(sig: int) -> int:
+    return sig if sig < 1 << 63 else sig - (1 << 64)
+
+
+class Order:
+    """The order of shingles: counted and rare, uncounted, frequent; within these by count and hash."""
+
+    def __init__(self, frequent: list[tuple[int, int]]):
+        """frequent: shingles (signed) and counts, the most frequent first."""
+        tokens = np.array([t for t, _ in frequent], np.int64).view(U)
+        order = np.argsort(tokens)
+        self.tokens, self.rank = tokens[order], (len(frequent) - order).astype(np.uint32)
+
+    def ranks(self, s: np.ndarray) -> np.ndarray:
+        """0 for counted and rare shingles of a set, 1 for uncounted, more for frequent."""
+        rank = np.zeros(len(s), U)
+        rank[np.searchsorted(s, LIMIT) :] = 1
+        if len(self.tokens):
+            at = np.searchsorted(self.tokens, s)
+            at[at == len(self.tokens)] = 0
+            found = np.flatnonzero(self.tokens[at] == s)
+            rank[found] = U(2) + self.rank[at[found]]
+        return rank
+
+
+def _count(texts: DataFrame, order: Order | None) -> DataFrame:
+    """Shingles that occur in two distinct sets of a task each, with counts: counted ones, or, given an order by these, the
+    uncounted ones of sets whose prefix reaches them."""
+    known = order and texts.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in parts(batches):
+            found = []
+            for s in shingle_sets(utf8(batch.column(0))):
+                if not len(s) or (sig := _mix_sum(s)) in seen:
+                    continue
                 seen.add(sig)
-                found.append(s[: np.searchsorted(s, LIMIT)])
-        if found:
-            tokens, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], names=["token", "n"])
+                if known is None:
+                    found.append(s[: np.searchsorted(s, LIMIT)])
+                elif int((known.value.ranks(s) == 0).sum()) < len(s) - needed(len(s)) + 1:
+                    found.append(s[np.searchsorted(s, LIMIT) :])
+            if found:
+                tokens, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    return cut(counted, "counts")
+
+
+def _frequent(counts: DataFrame) -> list[tuple[int, int]]:
+    rows = counts.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "token").limit(HOT_MOST).collect()  # HOT_MOST rows at most
+    return [(r.token, r.n) for r in rows]
 
 
 def _bit(tokens: np.ndarray) -> np.ndarray:
@@ -120,43 +167,34 @@ def _bitmap(counts: DataFrame) -> np.ndarray:
 
 def _sets(texts_of: DataFrame) -> DataFrame:
     """doc_id, th, n, sig of every row; tokens, places and cells for the first of each distinct set in a task that may link."""
-    spark = texts_of.sparkSession
-    counts = cut(texts_of.select("text").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
-    hot = [tuple(r) for r in counts.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "token").limit(HOT_MOST).collect()]  # HOT_MOST rows at most
-    hot_tokens = np.array([t for t, _ in hot], np.int64).view(U)
-    order = np.argsort(hot_tokens)
-    shared = spark.sparkContext.broadcast((hot_tokens[order], (len(hot) - order).astype(np.uint32), _bitmap(counts)))
+    counts = _count(texts_of, None)
+    order = Order(_frequent(counts))
+    more = _count(texts_of, order)
+    every = counts.unionAll(more)
+    shared = texts_of.sparkSession.sparkContext.broadcast((Order(_frequent(every)), _bitmap(every)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_tokens, hot_rank, bitmap = shared.value
+        order, bitmap = shared.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in parts(batches):
             texts = utf8(batch.column("text"))
             size, sigs, cells, tokens, places = [], [], [], [], []
             for s in shingle_sets(texts):
                 n = len(s)
                 sig = _mix_sum(s) if n else None
                 size.append(n)
-                sigs.append(sig if sig is None or sig < 1 << 63 else sig - (1 << 64))
+                sigs.append(None if sig is None else _signed(sig))
                 cells.append(None)
                 tokens.append(None)
                 places.append(None)
                 if not n or sig in seen:
                     continue
                 seen.add(sig)
-                rank = np.zeros(n, U)
-                cold = int(np.searchsorted(s, LIMIT))
-                rank[cold:] = 1
-                if len(hot_tokens):
-                    at = np.searchsorted(hot_tokens, s[:cold])
-                    at[at == len(hot_tokens)] = 0
-                    is_hot = np.flatnonzero(hot_tokens[at] == s[:cold])
-                    rank[is_hot] = U(2) + hot_rank[at[is_hot]]
-                first = np.argsort(rank, kind="stable")[: n - needed(n) + 1]
+                first = np.argsort(order.ranks(s), kind="stable")[: n - needed(n) + 1]
                 t = s[first]
                 bit = _bit(t)
                 at = ((bit % U(CHUNKS)) * U(BITMAP_BITS // CHUNKS) + bit // U(CHUNKS)).astype(np.int64)
-                twice = (first >= cold) | ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+                twice = ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
                 if twice.any():
                     c = np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
                     cells[-1] = c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes()
@@ -197,21 +235,26 @@ def _runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, first, np.append(first[1:], len(tokens)) - 1
 
 
-def star_pairs(x: dict[str, np.ndarray], largest: bool) -> np.ndarray:
-    """Pairs of each entry with its list's smallest (or largest) set of fitting size, if of another component."""
+def star_pairs(x: dict[str, np.ndarray], kind: str) -> np.ndarray:
+    """Pairs of each entry with its list's hub, if of another component: the smallest or largest set of fitting size, or some drawn by hash."""
     if not len(x["token"]):
         return np.zeros((0, 2), np.int64)
-    run, _, _ = _runs(x["token"])
+    run, first, _ = _runs(x["token"])
     key = run.astype(np.int64) << 32
-    if largest:
-        hub = np.searchsorted(key | x["n"], key | (x["n"] * 100 // 80), side="right") - 1
+    if kind == "smallest":
+        hubs = [np.searchsorted(key | x["n"], key | needed(x["n"]))]
+    elif kind == "largest":
+        hubs = [np.searchsorted(key | x["n"], key | (x["n"] * 100 // 80), side="right") - 1]
     else:
-        hub = np.searchsorted(key | x["n"], key | needed(x["n"]))
-    n, m = x["n"], x["n"][hub]
-    room = np.minimum(n - x["place"], m - x["place"][hub])  # what the sets can still share from here on
-    other = (x["label"][hub] != x["label"]) & (room >= -(-80 * (n + m) // 180))
-    pairs = np.stack([x["sig"][hub][other], x["sig"][other]], axis=1)
-    return np.unique(np.sort(pairs, axis=1), axis=0)
+        draws = [mix(x["sig"].view(U) ^ SALT[DRAWN * int(kind[5:]) + k]) for k in range(DRAWN)]
+        hubs = [np.lexsort((d, run))[first][run] for d in draws]
+    found = []
+    for hub in hubs:
+        n, m = x["n"], x["n"][hub]
+        room = np.minimum(n - x["place"], m - x["place"][hub])  # what the sets can still share from here on
+        other = (x["label"][hub] != x["label"]) & (room >= -(-80 * (n + m) // 180))
+        found.append(np.sort(np.stack([x["sig"][hub][other], x["sig"][other]], axis=1), axis=1))
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def across_pairs(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -232,12 +275,14 @@ def across_pairs(x: dict[str, np.ndarray]) -> np.ndarray:
             ok = (label[i] != label[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
             if ok.any():
                 found.append(np.sort(np.stack([sig[i[ok]], sig[j[ok]]], axis=1), axis=1))
+                if sum(map(len, found)) > 2 * max(1_000_000, len(found[0])):
+                    found = [np.unique(np.concatenate(found), axis=0)]
     pairs = np.concatenate(found)
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
 def _candidates(sets: DataFrame, mode: str, buckets: int) -> DataFrame:
-    """Pairs (a, b) of sets to compare with hubs, from index lists; mode: smallest or largest."""
+    """Pairs (a, b) of sets to compare with hubs, from index lists; mode: smallest, largest or drawn with a number."""
     packed = [(c, np.int64 if c != "token" else U) for c in _LIST]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +290,7 @@ def _candidates(sets: DataFrame, mode: str, buckets: int) -> DataFrame:
             x = _ordered(_unpack(batch))
             pairs = np.zeros((0, 2), np.int64)
             if len(x["token"]):
-                pairs = star_pairs(x, mode == "largest")
+                pairs = star_pairs(x, mode)
                 # A list's members here are tied to hubs; only the smallest and largest and one in each size step go on.
                 run, first, last = _runs(x["token"])
                 stride = (np.log(np.maximum(x["n"], 1)) / np.log(1.25) * 2).astype(np.int64)
@@ -271,7 +316,7 @@ def _candidates(sets: DataFrame, mode: str, buckets: int) -> DataFrame:
             for c in columns:
                 columns[c] += part.column(c).to_pylist()
         x = _ordered({c: np.frombuffer(b"".join(columns[c]), t) for c, t in packed})
-        own = star_pairs(x, mode == "largest")
+        own = star_pairs(x, mode)
         pairs = np.concatenate([own, np.frombuffer(b"".join(columns["pairs"]), np.int64).reshape(-1, 2)])
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -309,7 +354,7 @@ def _across(sets: DataFrame, buckets: int, most: int = LIST_MOST) -> DataFrame:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, text_a, text_b) whose sets link, as (a, b)."""
     hub: tuple[int | None, np.ndarray] = (None, np.zeros(0, U))
-    for batch in batches:
+    for batch in parts(batches):
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         keep = []
         members = shingle_sets(utf8(batch.column("text_b")))
@@ -363,7 +408,7 @@ def groups(docs: DataFrame) -> DataFrame:
     total = sets.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
     buckets = max(12, int(total) // BUCKET + 1)
     links = labels = None
-    for tag in ("smallest", "largest", "across"):
+    for tag in ROUNDS:
         if labels is None:
             labelled = sets.withColumn("label", F.col("sig"))
         else:

@@ -35,7 +35,9 @@ LEXICON, LEXICON_ROWS, LEXICON_LEAST = 100, 4_000, 6
 #: Added to variances, so that a statistic that is constant in a domain doesn't decide alone.
 VARIANCE_FLOOR = 0.01
 
-_FEATURES = ("length", "word_length", "symbols", "capitals", "digits", "breaks", "marks", "hits")
+_FEATURES = ("length", "word_length", "symbols", "hits")
+_SPACES = "\t\n\x0b\x0c\r"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -43,11 +45,13 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    """Lower-cased words; one pass makes every space the same, so that the split needs no expression."""
+    plain = F.translate(text, _UPPER + _SPACES, _LOWER + " " * len(_SPACES))
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def _beginnings(words: Column) -> Column:
-    return F.array_distinct(F.transform(words, lambda w: F.lower(F.substring(w, 1, 4))))
+    return F.transform(words, lambda w: F.substring(w, 1, 4))
 
 
 def lexicon(docs: DataFrame, labelled: DataFrame) -> list[str]:
@@ -57,7 +61,7 @@ def lexicon(docs: DataFrame, labelled: DataFrame) -> list[str]:
     n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("t"), F.lit(0))).first()
     if not bad or bad == n:
         return []
-    used = docs.join(F.broadcast(rows), "doc_id").select("t", F.explode(_beginnings(_words(F.col("text")))).alias("w"))  # at most LEXICON_ROWS rows
+    used = docs.join(F.broadcast(rows), "doc_id").select("t", F.explode(F.array_distinct(_beginnings(_words(F.col("text"))))).alias("w"))  # at most LEXICON_ROWS rows
     counts = used.groupBy("w").agg(F.sum("t").alias("yes"), F.count(F.lit(1)).alias("all"))
     odds = F.log((F.col("yes") + 0.5) / (bad + 1.0)) - F.log((F.col("all") - F.col("yes") + 0.5) / (n - bad + 1.0))
     best = counts.where(F.col("yes") >= LEXICON_LEAST).withColumn("odds", odds).where(F.col("odds") > 2.5).orderBy(F.desc("odds"), "w").limit(LEXICON)
@@ -68,13 +72,11 @@ def features(docs: DataFrame, words: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     n = F.length("text").cast("double")
-    left = lambda chars: n - F.length(F.translate("text", chars, ""))
-    share = lambda x: F.asin(F.sqrt(x / F.greatest(n, F.lit(1.0))))
-    own = _words(F.col("text"))
-    hits = F.size(F.array_intersect(_beginnings(own), F.array(*map(F.lit, words)))) if words else F.lit(0)
-    tokens = F.size(own).cast("long")
-    made = base.select("doc_id", "th", tokens.alias("n_tokens"), hits.alias("n_hits"), n.alias("n"), share(left("#*$%&|<>")).alias("symbols"), share(left("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("capitals"), share(left("0123456789")).alias("digits"), share(left("\n")).alias("breaks"), share(left(".,!?")).alias("marks"))
-    return made.select("doc_id", "th", "n_tokens", F.log1p("n_tokens").alias("length"), F.log((F.col("n") + 1) / (F.col("n_tokens") + 1)).alias("word_length"), "symbols", "capitals", "digits", "breaks", "marks", F.log1p("n_hits").alias("hits"))
+    symbols = n - F.length(F.translate("text", "#*$%&|<>!", ""))
+    made = base.select("doc_id", "th", n.alias("n"), F.asin(F.sqrt(symbols / F.greatest(n, F.lit(1.0)))).alias("symbols"), _words(F.col("text")).alias("words"))
+    hits = F.size(F.array_intersect(_beginnings(F.col("words")), F.array(*map(F.lit, words)))) if words else F.lit(0)
+    made = made.select("doc_id", "th", "n", "symbols", F.size("words").cast("long").alias("n_tokens"), hits.alias("n_hits"))
+    return made.select("doc_id", "th", "n_tokens", F.log1p("n_tokens").alias("length"), F.log((F.col("n") + 1) / (F.col("n_tokens") + 1)).alias("word_length"), "symbols", F.log1p("n_hits").alias("hits"))
 
 
 def posteriors(stats: DataFrame, labelled: DataFrame) -> list[Column]:

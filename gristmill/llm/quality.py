@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm._util import cut, small
-from gristmill.llm.textkernel import SLICE, Words, grams, slices, span_hash, utf8
+from gristmill.llm.textkernel import SLICE, Words, grams, parts, slices, span_hash, utf8
 
 ALPHA = 0.75
 STEPS = 3
@@ -108,7 +108,7 @@ def text_statistics(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         texts = utf8(batch.column("text"))
         for a, b in slices(texts, SLICE):
             x = text_statistics(texts[a:b])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gristmill.llm import jaccard, mixing, packing, quality, repeats
+from gristmill.llm import chat, jaccard, licences, mixing, neighbours, packing, quality, repeats, reputation
 from gristmill.llm._util import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,14 +17,36 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: a page is bad if the label of its number is of low quality or toxic."""
+    labels = read(spark, sf_dir, "labels")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return reputation.judge(read(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(read(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    return chat.read_back(chat.format_conversations(turns.unionAll(own)))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("th")
 
@@ -32,4 +55,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_quality_rules, op5_suffix_array_dedup, op9_mixing, op10_ngram_jaccard)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_url_filters, op3_quality_rules, op4_nearest_neighbours, op5_suffix_array_dedup, op7_chat_formatting,
+        op8_license_scans, op9_mixing, op10_ngram_jaccard,
+    )
+}

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm._util import cut
-from gristmill.llm.textkernel import SALT, U, mix, prefix_hash, slices, span_hash, utf8
+from gristmill.llm.textkernel import SALT, U, mix, parts, prefix_hash, slices, span_hash, utf8
 
 LENGTH, GRAM = 400, 200
 SIDE = LENGTH - GRAM
@@ -76,7 +76,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         texts = utf8(batch.column("text"))
         for a, b in slices(texts):
             text, place, h = anchors(texts[a:b])
@@ -95,7 +95,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x.clear()
         return out
 
-    for batch in batches:
+    for batch in parts(batches):
         for doc, th, value, found in zip(*(batch.column(c) for c in ("doc_id", "th", "text", "found")), strict=True):
             doc, th, text = doc.as_py(), th.as_py(), value.as_py().encode()
             for x in found.as_py():
@@ -323,7 +323,7 @@ def report(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     texts, spans = repeated_spans(docs, group_most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             removed, count, digest = [], [], []
             for text, own in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
                 runs = united(own)
@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     joined = docs.withColumn("_th", F.xxhash64(whole)).join(s, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             text = batch.schema.get_field_index("text")
             kept = [x.as_py() if own is None else without(x.as_py().encode(), united(own)).decode(errors="ignore") for x, own in zip(batch.column(text), batch.column("_spans").to_pylist(), strict=True)]
             columns = [pa.array(kept, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("_spans",)]

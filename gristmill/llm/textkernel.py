@@ -67,6 +67,13 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v.encode() for v in column.to_pylist()]
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that copies of their texts stay small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def slices(texts: list[bytes], limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Index ranges of about `limit` bytes each."""
     a = size = 0
