@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, jaccard, licences, mixing, neighbours, packing, quality, repeats, reputation
+from gristmill.llm import chat, jaccard, licences, mixing, neighbours, packing, quality, repeats, reputation, toxicity
 from gristmill.llm._util import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
@@ -58,7 +62,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_packing, op2_url_filters, op3_quality_rules, op4_nearest_neighbours, op5_suffix_array_dedup, op7_chat_formatting,
-        op8_license_scans, op9_mixing, op10_ngram_jaccard,
+        op1_packing, op2_url_filters, op3_quality_rules, op4_nearest_neighbours, op5_suffix_array_dedup, op6_toxicity,
+        op7_chat_formatting, op8_license_scans, op9_mixing, op10_ngram_jaccard,
     )
 }
