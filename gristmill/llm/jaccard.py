@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._util import cut
+from gristmill.llm._util import cut, small
 from gristmill.llm.components import components
 from gristmill.llm.textkernel import SALT, U, Words, grams, mix, parts, slices, utf8
 
@@ -49,8 +49,10 @@ BITMAP_BITS, CHUNKS = 1 << 26, 64
 ROUNDS = ("smallest", "drawn1", "drawn2", "across")
 #: Hubs that a drawn round compares each member with.
 DRAWN = 6
+#: So many sets whose texts are compared are broadcast to find the texts (at most about 20 MB); for more, texts are shuffled.
+WANTED = 250_000
 #: Cells of a set's count vector, which bounds overlaps from above.
-CELLS = 256
+CELLS, COARSE = 256, 64
 #: Entries of a list that one task of the last round takes at most; longer lists are dealt into parts.
 LIST_MOST = 20_000
 #: Prefix shingles of one bucket of lists, about.
@@ -257,8 +259,17 @@ def star_pairs(x: dict[str, np.ndarray], kind: str) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
-def across_pairs(x: dict[str, np.ndarray]) -> np.ndarray:
-    """All pairs of a list's entries of different components that sizes and positions allow to link."""
+def coarse(cells: bytes) -> bytes:
+    """A count vector folded to COARSE cells of a byte, or nothing if a count is too large."""
+    c = np.frombuffer(cells, np.uint8 if len(cells) == CELLS else np.uint32).astype(np.int64).reshape(COARSE, -1).sum(1)
+    return c.astype(np.uint8).tobytes() if c.max() < 256 else b""
+
+
+def across_pairs(x: dict[str, np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """All pairs of a list's entries of different components that sizes, positions and counts allow to link.
+
+    counts: each entry's folded count vector; no bound where it has none.
+    """
     found = [np.zeros((0, 2), np.int64)]
     if len(x["token"]):
         _, _, last = _runs(x["token"])
@@ -272,8 +283,10 @@ def across_pairs(x: dict[str, np.ndarray]) -> np.ndarray:
             i = i[80 * n[i + step] <= 100 * n[i]]  # sizes ascend: the rest of the list is beyond reach
             j = i + step
             need = -(-80 * (n[i] + n[j]) // 180)
-            ok = (label[i] != label[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
-            if ok.any():
+            ok = np.flatnonzero((label[i] != label[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need))
+            if len(ok):
+                ok = np.concatenate([k[np.minimum(counts[i[k]], counts[j[k]]).sum(1) >= need[k]] for k in np.array_split(ok, len(ok) // 100_000 + 1)])
+            if len(ok):
                 found.append(np.sort(np.stack([sig[i[ok]], sig[j[ok]]], axis=1), axis=1))
                 if sum(map(len, found)) > 2 * max(1_000_000, len(found[0])):
                     found = [np.unique(np.concatenate(found), axis=0)]
@@ -334,21 +347,27 @@ def _across(sets: DataFrame, buckets: int, most: int = LIST_MOST) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unpack(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(x["token"].view(np.int64)), *(pa.array(x[c].astype(np.int64)) for c in _LIST[1:])], names=_LIST)
+            each = np.repeat(np.arange(batch.num_rows), [len(t) // 8 for t in batch.column("tokens").to_pylist()])
+            cells = pa.array([coarse(c) for c in batch.column("cells").to_pylist()], pa.binary()).take(pa.array(each))
+            yield pa.RecordBatch.from_arrays([pa.array(x["token"].view(np.int64)), *(pa.array(x[c].astype(np.int64)) for c in _LIST[1:]), cells], names=[*_LIST, "cells"])
 
     def lists(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(parts))
-        x = _ordered({c: held.column(c).to_numpy() for c in _LIST})
-        pairs = across_pairs(x)
+        columns = {c: held.column(c).to_numpy() for c in _LIST}
+        x = _ordered(columns | {"row": np.arange(held.num_rows)})
+        raw = held.column("cells").to_pylist()
+        counts = np.frombuffer(b"".join(raw[r] or b"\xff" * COARSE for r in x["row"].tolist()), np.uint8).reshape(-1, COARSE).astype(np.int64)
+        counts[[not raw[r] for r in x["row"].tolist()]] = 1 << 40
+        pairs = across_pairs(x, counts)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    entries = sets.select("sig", "n", "tokens", "places", "label").mapInArrow(spread, "token long, sig long, n long, place long, label long")
+    entries = sets.select("sig", "n", "tokens", "places", "label", "cells").mapInArrow(spread, "token long, sig long, n long, place long, label long, cells binary")
     mixed = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     mixed = mixed.select(F.col("token").alias("t"), F.ceil(F.col("size") / most).cast("long").alias("parts"))
     some = entries.join(mixed, F.col("token") == F.col("t")).withColumn("own", F.expr("pmod(xxhash64(sig), parts)"))
     cells = some.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
     cells = cells.withColumn("token", F.when(F.col("parts") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))))
-    return cells.withColumn("bucket", F.expr(f"pmod(xxhash64(token), {buckets})")).select("bucket", *_LIST).groupBy("bucket").applyInArrow(lists, "a long, b long").distinct()
+    return cells.withColumn("bucket", F.expr(f"pmod(xxhash64(token), {buckets})")).select("bucket", *_LIST, "cells").groupBy("bucket").applyInArrow(lists, "a long, b long").distinct()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,6 +412,7 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, tag: str) -> Dat
     left = pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(_possible, f"a long, doc_a {kind}, th_a long, b long, doc_b {kind}, th_b long")
     left = cut(left, f"possible_{tag}")
     wanted = left.select(F.col("a").alias("sig"), F.col("doc_a").alias("d"), F.col("th_a").alias("t")).unionAll(left.select("b", "doc_b", "th_b")).distinct()
+    wanted = small(cut(wanted, f"wanted_{tag}"), WANTED)
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["th"] == wanted["t"])).select("sig", "text").dropDuplicates(["sig"])
     both = left.select("a", "b").join(found.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(found.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a")

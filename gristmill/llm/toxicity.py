@@ -52,7 +52,7 @@ BINS = 400
 
 _CLASSES = 64
 # Look-alikes of letters.
-LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 _SKIP, _SPACE = 255, 254
 _CLASS = np.full(0x300, _SKIP, np.uint8)
 for _c in range(0x300):
