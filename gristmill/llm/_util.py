@@ -21,17 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and a lost executor costs nothing."""
+_scratch: list[str] = []
+
+
+def cut(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends there and a lost executor costs nothing.
+
+    release() deletes what is written, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gristmill/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if not keep:
+        _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables written so far; for callers that have written every result that was made from them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is a materialised table of at most `rows` rows, else unchanged."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -440,3 +440,15 @@ def groups(docs: DataFrame) -> DataFrame:
     named = rows.select("doc_id", "n", "sig").join(labels.select(F.col("u").alias("sig"), F.col("v").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group, that of the smallest id; columns stay as they are.
+
+    Rows with the same id and text fall to one; different texts under one id are kept or dropped together.
+    """
+    found = cut(groups(docs), "groups")
+    gone = small(cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone"), WANTED)
+    rest = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return rest.dropDuplicates(["doc_id", "text"]) if again else rest

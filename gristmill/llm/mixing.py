@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._util import cut
+from gristmill.llm._util import cut, small
 
 DOMAINS = ("clean", "low", "toxic")
 #: Wanted shares of the tokens.
@@ -32,6 +32,8 @@ TARGETS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
 GRID = 64
 STEPS, TOLERANCE = 40, 1e-5
 LEXICON, LEXICON_ROWS, LEXICON_LEAST = 100, 4_000, 6
+#: So many rows that don't come once are broadcast (about 10 MB); for more, rows are shuffled.
+CHANGED = 250_000
 #: Added to variances, so that a statistic that is constant in a domain doesn't decide alone.
 VARIANCE_FLOOR = 0.01
 
@@ -172,6 +174,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs, each row as often as its copies say."""
     made = rates(docs, labels, targets).where("copies <> 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("copies").alias("_copies")).distinct()
+    made = small(cut(made, "copies"), CHANGED)
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     joined = docs.withColumn("_th", th).join(made, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
     often = joined.where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))

@@ -22,8 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.llm._util import cut, small
 from gristmill.llm.textkernel import SLICE, Words, grams, parts, slices, span_hash, utf8
@@ -165,7 +167,6 @@ def chi2_quantile(q: float, k: float) -> float:
 
 #: Makes the covariance of the nearest ALPHA of a normal cloud that of the whole.
 CONSISTENCY = ALPHA / chi2_cdf(chi2_quantile(ALPHA, P), P + 2)
-CUTOFF = chi2_quantile(1 - TAIL, P)
 
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 _SUMS = [f"s{i}" for i in range(P)] + [f"q{i}_{j}" for i, j in _PAIRS]
@@ -217,27 +218,63 @@ def minimum_covariance(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return cut(now.coalesce(1), "mcd")
 
 
-def judge(docs: DataFrame, steps: int = STEPS, tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
-    """doc_id, lang, source, the base statistics, base_failed, distance (null without estimate) and kept, of every row."""
-    stats = cut(statistics(docs), "statistics")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    # A group's name: its source and language, its language, or nothing; JSON tells null from any string.
-    name = {2: F.to_json(F.struct("lang", "source")), 1: F.to_json(F.struct("lang", F.lit(1).alias("any"))), 0: F.lit("all")}
-    counts = cut(stats.where(~failed).groupBy("lang", "source").count().coalesce(1), "groups")
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _name(level: int) -> Column:
+    """A group's name: its source and language, its language, or nothing; JSON tells null from any string."""
+    return F.to_json(F.struct("lang", "source")) if level == 2 else F.to_json(F.struct("lang", F.lit(1).alias("any"))) if level else F.lit("all")
+
+
+def fit(stats: DataFrame, steps: int = STEPS, min_group: int = MIN_GROUP) -> tuple[DataFrame, DataFrame]:
+    """(l, s, level) of each language and source, and the estimates by group name."""
+    counts = cut(stats.where(~_failed()).groupBy("lang", "source").count().coalesce(1), "groups")
     totals = counts.withColumn("of_lang", F.sum("count").over(Window.partitionBy("lang")))
     level = F.when(F.col("count") >= min_group, 2).when(F.col("of_lang") >= min_group, 1).otherwise(0)
     groups = cut(totals.select(F.col("lang").alias("l"), F.col("source").alias("s"), level.alias("level")).coalesce(1), "levels")
-    own = stats.join(small(groups), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
-    own = own.withColumn("g", F.when(F.col("level") == 2, name[2]).when(F.col("level") == 1, name[1]).otherwise(name[0]))
     # The estimate of a language or of all rows is over all its rows, those with groups of their own included.
-    levels = [2] + [x for x in (1, 0) if groups.where(F.col("level") == x).limit(1).count()]
-    rows = own.where(~failed)
+    rows = _named(stats.where(~_failed()), groups)
     used = None
-    for x in levels:
-        part = (rows if x < 2 else rows.where("level = 2")).select(name[x].alias("g"), *(f"x{i}" for i in range(P)))
+    for x in [2] + [x for x in (1, 0) if groups.where(F.col("level") == x).limit(1).count()]:
+        part = (rows if x < 2 else rows.where("level = 2")).select(_name(x).alias("g"), *(f"x{i}" for i in range(P)))
         used = part if used is None else used.unionAll(part)
-    found = minimum_covariance(used, steps)
-    cutoff = chi2_quantile(1 - tail, P)
-    out = own.join(small(found), "g", "left").withColumn("distance", _distance())
-    kept = ~failed & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
-    return out.select("doc_id", "lang", "source", *BASE, failed.alias("base_failed"), F.sqrt("distance").alias("distance"), kept.alias("kept"))
+    return groups, minimum_covariance(used, steps)
+
+
+def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    own = rows.join(small(groups), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
+    return own.withColumn("g", F.when(F.col("level") == 2, _name(2)).when(F.col("level") == 1, _name(1)).otherwise(_name(0)))
+
+
+def _verdicts(rows: DataFrame, groups: DataFrame, found: DataFrame, tail: float) -> DataFrame:
+    """rows with base_failed, distance and kept."""
+    out = _named(rows, groups).join(small(found), "g", "left").withColumn("d2", _distance())
+    kept = ~_failed() & F.coalesce(F.col("d2") <= chi2_quantile(1 - tail, P), F.lit(True))
+    return out.withColumns({"base_failed": _failed(), "distance": F.sqrt("d2"), "kept": kept})
+
+
+def judge(docs: DataFrame, steps: int = STEPS, tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
+    """doc_id, lang, source, the base statistics, base_failed, distance (null without estimate) and kept, of every row."""
+    stats = cut(statistics(docs), "statistics")
+    groups, found = fit(stats, steps, min_group)
+    return _verdicts(stats, groups, found, tail).select("doc_id", "lang", "source", *BASE, "base_failed", "distance", "kept")
+
+
+def filter_documents(docs: DataFrame, steps: int = STEPS, tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows of docs, all columns, that are kept.  Texts are read once more, not shuffled."""
+    groups, found = fit(cut(statistics(docs), "statistics"), steps, min_group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            row = batch.column("row")
+            texts = utf8(pc.struct_field(row, "text").cast(pa.string()))
+            for a, b in slices(texts):
+                x = text_statistics(texts[a:b])
+                part = row.slice(a, b - a)
+                keys = [pc.struct_field(part, c).cast(pa.string()) for c in ("lang", "source")]
+                yield pa.RecordBatch.from_arrays([part, *keys, *(pa.array(x[c], pa.int64()) for c in BASE), *(pa.array(x["vector"][:, i]) for i in range(P))], names=["row", "lang", "source", *BASE, *(f"x{i}" for i in range(P))])
+
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), *(T.StructField(c, T.LongType()) for c in BASE), *(T.StructField(f"x{i}", T.DoubleType()) for i in range(P))])
+    rows = docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(run, schema)
+    return _verdicts(rows, groups, found, tail).where("kept").select("row.*")
