@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text
 from gristmill.operators._side import small
+from gristmill.operators.dedup import runs_of
 
 K, LONG, SHORT, LINE = 8, 12, 3, 6
 MIN_HITS, MIN_COVER = 3, 0.5
@@ -28,8 +29,7 @@ def blocklist(items: DataFrame, item: str = "item_id", col: str = "text") -> tup
 
 def cover(docs: DataFrame, long: DataFrame, doc: str = "doc_id", col: str = "text") -> DataFrame:
     """doc, item, hits, size, cover of each document and item that share a shingle."""
-    words = docs.select(doc, text.tokens(F.col(col)).alias("w"))  # a column of its own, so that it isn't made anew for each run
-    own = words.select(doc, F.explode(text.shingle_hashes(F.col("w"), K)).alias("h"))
+    own = runs_of(docs, doc, col, K).select(doc, "h")
     hits = own.join(small(long), "h").groupBy(doc, "item", "size").agg(F.count(F.lit(1)).alias("hits"))
     return hits.select(doc, "item", "hits", "size", (F.col("hits") / F.col("size")).alias("cover"))
 
@@ -38,7 +38,7 @@ def short_matches(docs: DataFrame, short: DataFrame, doc: str = "doc_id", col: s
     """doc, item where the whole text or a line of it is a short item."""
     lines = F.filter(F.transform(F.split(F.col(col), "\n"), lambda x: text.tokens(x)), lambda w: F.size(w) >= LINE)
     parts = F.array_union(F.array(text.tokens(F.col(col))), lines)
-    own = docs.select(doc, F.explode(F.transform(parts, lambda w: F.xxhash64(F.array_join(w, " ")))).alias("h"))
+    own = docs.select(doc, F.explode_outer(F.transform(parts, lambda w: F.xxhash64(F.array_join(w, " ")))).alias("h")).where("h is not null")
     return own.join(small(short), "h").select(doc, "item").distinct()
 
 
