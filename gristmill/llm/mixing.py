@@ -173,8 +173,9 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs, each row as often as its copies say."""
-    made = rates(docs, labels, targets).where("copies <> 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("copies").alias("_copies")).distinct()
-    made = small(cut(made, "copies"), CHANGED)
+    given = cut(rates(docs, labels, targets).select("doc_id", "th", "copies"), "rates")  # each rate is folded once
+    made = given.where("copies <> 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("copies").alias("_copies")).distinct()
+    made = small(made, CHANGED)
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     joined = docs.withColumn("_th", th).join(made, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
     often = joined.where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))

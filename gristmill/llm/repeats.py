@@ -41,6 +41,8 @@ SIDE = LENGTH - GRAM
 GROUP_MOST = 5_000
 #: Contexts of a bucket, and window hashes of a bucket of frequent anchors, about.
 BUCKET, HOT_BUCKET = 20_000, 2_000_000
+#: So many anchors or spans, in lists by document, are broadcast to the texts (about 20 MB); for more, texts are shuffled.
+BROADCAST = 400_000
 _LOW32 = U(0xFFFFFFFF)
 
 
@@ -280,6 +282,12 @@ def _same(a: DataFrame, b: DataFrame) -> object:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
+def _near(lists: DataFrame, column: str) -> DataFrame:
+    """A written table of lists, with a broadcast hint if all their members are at most BROADCAST."""
+    rows, members = lists.agg(F.count(F.lit(1)), F.sum(F.size(column))).first()
+    return F.broadcast(lists) if rows + (members or 0) <= BROADCAST else lists
+
+
 def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, text) of texts with a repeated anchor, and (doc_id, th, spans) with their covered spans, not yet united."""
     keyed = _keyed(docs)
@@ -288,6 +296,7 @@ def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST) -> tuple[DataF
     marked = found.join(counts, F.col("h") == F.col("again")).groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "h", "frequent")).alias("found"))
     # Rows with the same id and text share one list; each such row then has it.
     marked = marked.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.array_distinct("found").alias("found"))
+    marked = _near(cut(marked, "marked"), "found")
     texts = keyed.join(marked, keyed["doc_id"].eqNullSafe(marked["d"]) & (keyed["th"] == marked["t"]))
     texts = cut(texts.select("doc_id", "th", "text", "found"), "candidates")
     sizes = texts.select(F.size("found").alias("n"), F.expr("size(filter(found, x -> x.frequent))").alias("hot")).agg(F.sum("n"), F.sum("hot")).first()
@@ -299,7 +308,7 @@ def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST) -> tuple[DataF
     if hot:
         spans = spans.unionAll(_frequent(contexts.where("frequent"), max(12, hot * (SIDE + 1) // HOT_BUCKET + 1)))
     spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    return texts.select("doc_id", "th", "text"), spans
+    return texts.select("doc_id", "th", "text"), _near(spans, "spans")
 
 
 def united(spans: list[dict]) -> list[tuple[int, int]]:
@@ -332,7 +341,7 @@ def report(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
                 digest.append(hashlib.sha256(without(text, runs)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["d", "t", "removed", "count", "digest"])
 
-    s = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "spans")
+    s = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("spans"))
     hit = texts.join(s, texts["doc_id"].eqNullSafe(s["d"]) & (texts["th"] == s["t"])).select("d", "t", "text", "spans")
     cuts = hit.mapInArrow(run, "d long, t long, removed long, count long, digest string").dropDuplicates(["d", "t"])
     base = _keyed(docs).select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
