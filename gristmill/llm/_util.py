@@ -21,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of an Arrow batch while a table is written; whole texts make batches large.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scratch: list[str] = []
 
 
@@ -31,7 +34,12 @@ def cut(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gristmill/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    rows = spark.conf.get(_BATCH, "10000")
+    spark.conf.set(_BATCH, str(min(int(rows), BATCH_ROWS)))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     if not keep:
         _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)

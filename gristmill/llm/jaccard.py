@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm._util import cut, small
 from gristmill.llm.components import components
-from gristmill.llm.textkernel import SALT, U, Words, grams, mix, parts, slices, utf8
+from gristmill.llm.textkernel import SALT, U, Words, grams, mix, parts, slices, tidy, utf8
 
 N = 5
 #: Shingles with a hash below this are counted.
@@ -332,6 +332,7 @@ def _candidates(sets: DataFrame, mode: str, buckets: int) -> DataFrame:
         own = star_pairs(x, mode)
         pairs = np.concatenate([own, np.frombuffer(b"".join(columns["pairs"]), np.int64).reshape(-1, 2)])
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        tidy()
 
     binary = ", ".join(f"{c} binary" for c in (*_LIST, "pairs"))
     dealt = sets.select("sig", "n", "tokens", "places", "label").mapInArrow(deal, f"bucket long, {binary}")
@@ -360,6 +361,7 @@ def _across(sets: DataFrame, buckets: int, most: int = LIST_MOST) -> DataFrame:
         counts[[not raw[r] for r in x["row"].tolist()]] = 1 << 40
         pairs = across_pairs(x, counts)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        tidy()
 
     entries = sets.select("sig", "n", "tokens", "places", "label", "cells").mapInArrow(spread, "token long, sig long, n long, place long, label long, cells binary")
     mixed = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")

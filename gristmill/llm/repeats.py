@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm._util import cut
-from gristmill.llm.textkernel import SALT, U, mix, parts, prefix_hash, slices, span_hash, utf8
+from gristmill.llm.textkernel import SALT, U, mix, parts, prefix_hash, slices, span_hash, tidy, utf8
 
 LENGTH, GRAM = 400, 200
 SIDE = LENGTH - GRAM
@@ -192,6 +192,7 @@ def _bucket(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     place = column("place")[ok]
     docs = held.column("doc_id").filter(pa.array(ok))
     yield pa.RecordBatch.from_arrays([docs.combine_chunks(), pa.array(column("th")[ok]), pa.array(place - left[ok]), pa.array(place + right[ok])], names=["doc_id", "th", "start", "stop"])
+    tidy()
 
 
 def window_hashes(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

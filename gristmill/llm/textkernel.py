@@ -6,6 +6,8 @@ Hashes are 64-bit polynomial hashes, finished with a bijective mixer.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,11 +69,20 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v.encode() for v in column.to_pylist()]
 
 
+def tidy() -> None:
+    """Give freed memory back: a Python worker lives on, and what it holds counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of few rows, so that copies of their texts stay small."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+        del batch
+        tidy()
 
 
 def slices(texts: list[bytes], limit: int = SLICE) -> Iterator[tuple[int, int]]:
