@@ -421,7 +421,7 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, tag: str) -> Dat
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), f"links_{tag}")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     text = F.col("text").cast("string")
     texts = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
@@ -435,7 +435,7 @@ def groups(docs: DataFrame) -> DataFrame:
             labelled = sets.withColumn("label", F.col("sig"))
         else:
             labelled = sets.join(labels.select(F.col("u").alias("sig"), F.col("v").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        pairs = _across(labelled, buckets) if tag == "across" else _candidates(labelled, tag, buckets)
+        pairs = _across(labelled, buckets, list_most) if tag == "across" else _candidates(labelled, tag, buckets)
         new = _links(pairs, sets, texts, tag)
         links = new if links is None else links.unionAll(new)
         labels = components(links)

@@ -2,7 +2,8 @@
 
  1. Coarse centroids and codebooks are fitted on at most SAMPLE rows, those of least hash.  Residuals are scaled by their
     centroid's spread, so that a dense group of near copies is told apart as finely as scattered rows.
-    Codes minimise |e|^2 + (ETA - 1) (e . x/|x|)^2: error parallel to the vector, which moves large inner products, costs more.
+    Codes minimise |e|^2 + (eta - 1) (e . x/|x|)^2: error parallel to the vector, which moves large inner products, costs more.
+    eta = (dim - 1) T^2 / (1 - T^2) for inner products from T on, the cosine of a centroid with its rows.
  2. Every row is indexed: a centroid and one four-bit code for each PAIR-wide slice, two codes a byte.
  3. Queries and rows are dealt into blocks; each cell (query block, row block) scans codes through tables of 256 partial
     scores a byte, takes the RERANK best for each query, and reranks them exactly on the original vectors in double precision.
@@ -32,8 +33,8 @@ SAMPLE = 8_000
 CENTROIDS = 192
 PAIR = 2
 CODES = 16
-#: Weight of parallel error.
-ETA = 4.0
+#: Least and most weight of parallel error.
+ETA = (4.0, 1e4)
 SWEEPS, ROUNDS = 2, 6
 RERANK = 64
 QUERY_BLOCK, ROW_BLOCK = 4_096, 8_192
@@ -72,11 +73,12 @@ class Quantiser:
         own = np.sqrt(np.bincount(at, square, minlength=len(centres)) / np.maximum(count, 1))
         whole = max(np.sqrt(square.mean()), 1e-6)
         self.spread = np.where(count >= 4, np.maximum(own, 1e-4), whole)
-        scaled = residual / self.spread[at][:, None]
+        self.eta = np.clip((dim - 1) * (1 - self.spread**2) / self.spread**2, *ETA)
+        scaled, eta = residual / self.spread[at][:, None], self.eta[at]
         parts = scaled.shape[1] // PAIR
         self.books = np.stack([scaled[rng.choice(n, CODES, replace=n < CODES)][:, m * PAIR : (m + 1) * PAIR] for m in range(parts)])
         for _ in range(ROUNDS):
-            code = self._codes(scaled, x)
+            code = self._codes(scaled, x, eta)
             slices = scaled.reshape(n, parts, PAIR)
             side = x.reshape(n, parts, PAIR)
             error = slices - self.books[np.arange(parts), code]
@@ -88,14 +90,15 @@ class Quantiser:
                     i = np.flatnonzero(code[:, m] == c)
                     if len(i):
                         s, r = side[i, m], slices[i, m]
-                        a = len(i) * np.eye(PAIR) + (ETA - 1) * s.T @ s
-                        b = (r + (ETA - 1) * s * (rest[i] + (r * s).sum(1))[:, None]).sum(0)
+                        more = s * (eta[i] - 1)[:, None]
+                        a = len(i) * np.eye(PAIR) + more.T @ s
+                        b = (r + more * (rest[i] + (r * s).sum(1))[:, None]).sum(0)
                         self.books[m, c] = np.linalg.solve(a, b)
 
     def _padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.pad))) if self.pad else x
 
-    def _codes(self, scaled: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    def _codes(self, scaled: np.ndarray, unit: np.ndarray, eta: np.ndarray) -> np.ndarray:
         """Four-bit codes by coordinate descent on the anisotropic loss."""
         n, parts = len(scaled), scaled.shape[1] // PAIR
         slices, side = scaled.reshape(n, parts, PAIR), unit.reshape(n, parts, PAIR)
@@ -107,7 +110,7 @@ class Quantiser:
         for _ in range(SWEEPS):
             for m in range(parts):
                 rest = total - along[rows, m, code[:, m]]
-                code[:, m] = (error[:, m] + (ETA - 1) * (rest[:, None] + along[:, m]) ** 2).argmin(1)
+                code[:, m] = (error[:, m] + (eta[:, None] - 1) * (rest[:, None] + along[:, m]) ** 2).argmin(1)
                 total = rest + along[rows, m, code[:, m]]
         return code
 
@@ -115,7 +118,7 @@ class Quantiser:
         """Centroid and packed codes of vectors of any length other than 0."""
         unit = self._padded(vectors / np.linalg.norm(vectors, axis=1)[:, None])
         at = _nearest(unit, self.centres)
-        code = self._codes((unit - self.centres[at]) / self.spread[at][:, None], unit)
+        code = self._codes((unit - self.centres[at]) / self.spread[at][:, None], unit, self.eta[at])
         return at, (code[:, 0::2] | code[:, 1::2] << 4).astype(np.uint8)
 
     def scores(self, queries: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:

@@ -100,7 +100,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches):
         for doc, th, value, found in zip(*(batch.column(c) for c in ("doc_id", "th", "text", "found")), strict=True):
             doc, th, text = doc.as_py(), th.as_py(), value.as_py().encode()
-            for x in found.as_py():
+            for x in {x["place"]: x for x in found.as_py()}.values():  # rows of the same id and text list theirs together
                 p = x["place"]
                 for c, v in zip(kinds, (doc, th, p, x["h"], x["frequent"], text[max(0, p - SIDE) : p][::-1], text[p + GRAM : p + LENGTH]), strict=True):
                     rows[c].append(v)
@@ -296,7 +296,7 @@ def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST) -> tuple[DataF
     counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("again"), (F.col("n") > group_most).alias("frequent"))
     marked = found.join(counts, F.col("h") == F.col("again")).groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "h", "frequent")).alias("found"))
     # Rows with the same id and text share one list; each such row then has it.
-    marked = marked.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.array_distinct("found").alias("found"))
+    marked = marked.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "found")
     marked = _near(cut(marked, "marked"), "found")
     texts = keyed.join(marked, keyed["doc_id"].eqNullSafe(marked["d"]) & (keyed["th"] == marked["t"]))
     texts = cut(texts.select("doc_id", "th", "text", "found"), "candidates")
