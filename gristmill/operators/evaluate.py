@@ -75,14 +75,14 @@ def bootstrap(rows: DataFrame, value: str, cluster: str, draws: int = 400, seed:
 
     Only cluster sums are repeated for each draw; a draw is keyed by hash, so results don't depend on partitions.
     """
-    sums = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(cluster)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    sums = rows.groupBy(cluster).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_draw"), F.col(cluster)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     weight, cumulative = F.lit(0), 0.0
     for k in range(12):
         cumulative += math.exp(-1) / math.factorial(k)
         weight = weight + F.when(u > cumulative, 1).otherwise(0)
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    stats = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("c")), F.lit(0))).alias("stat"))
+    drawn = sums.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight)
+    stats = drawn.groupBy("_draw").agg((F.sum(F.col("_w") * F.col("_sum")) / F.nullif(F.sum(F.col("_w") * F.col("_rows")), F.lit(0))).alias("stat"))
     bounds = stats.agg(F.percentile("stat", F.lit(0.025)).alias("low"), F.percentile("stat", F.lit(0.975)).alias("high"))
     return rows.agg(F.avg(value).alias("mean"), F.count_distinct(cluster).alias("clusters")).join(F.broadcast(bounds))  # one row each
 
