@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import jaccard, mixing, packing, quality, repeats
-from gristmill.llm._util import cut, read, release
+from gristmill.llm._util import cut, read, stage
 
 #: The stages' results depend on distances, links and fitted rates, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    release(spark)
     return quality.filter_documents(docs)
 
 
+@stage
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    release(spark)
     return jaccard.one_each(docs)
 
 
+@stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur elsewhere."""
-    release(spark)
     return repeats.remove_repeats(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the fitted rates say."""
-    release(spark)
     return mixing.mix(docs, read(spark, sf_dir, "labels"))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents."""
-    release(spark)
     return packing.pack_documents(docs)
 
 
@@ -53,6 +53,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name, keep=True)
+    for name, f in STAGES[:-1]:
+        docs = cut(f(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS = 2_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scratch: list[str] = []
+_finished: list[str] = []
 
 
 def cut(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there and a lost executor costs nothing.
 
-    release() deletes what is written, unless it is to be kept.
+    Within a pipeline stage, the next stage deletes it, unless it is to be kept.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gristmill/{tag}-{uuid.uuid4().hex}"
@@ -46,13 +49,28 @@ def cut(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables written so far; for callers that have written every result that was made from them."""
+    """Delete the tables that finished stages wrote; for callers that have written every result made from them."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    while _finished:
+        path = jvm.org.apache.hadoop.fs.Path(_finished.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """f as a pipeline stage: it starts by deleting what the stage before wrote on the way, whose result is written by then."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        start = len(_scratch)
+        out = f(spark, docs, sf_dir)
+        _finished.extend(_scratch[start:])
+        del _scratch[start:]
+        return out
+
+    return run
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is a materialised table of at most `rows` rows, else unchanged."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
