@@ -92,3 +92,52 @@ def flatten_json(rows: DataFrame, column: str, name: str = "paths") -> DataFrame
         return x.map(one)
 
     return rows.withColumn(name, flat(column))
+
+
+def unflatten_json(rows: DataFrame, column: str, name: str = "json") -> DataFrame:
+    """The inverse of flatten_json: a compact JSON column from path lines; null where a line can't be read."""
+    import json
+    import re
+
+    token = re.compile(r'\.?([A-Za-z_][A-Za-z0-9_]*)|\[(\d+)\]|\[("(?:[^"\\]|\\.)*")\]')
+
+    def value(s: str) -> object:
+        try:
+            return json.loads(s)
+        except ValueError:
+            return s
+
+    def read(line: str) -> tuple[list, str] | None:
+        keys: list = []
+        at = 0
+        while (m := token.match(line, at)) and not line.startswith(":", at):
+            keys.append(m[1] if m[1] is not None else int(m[2]) if m[2] is not None else json.loads(m[3]))
+            at = m.end()
+        return (keys, line[at + 2 :]) if keys and line.startswith(": ", at) else None
+
+    def build(pairs: list[tuple[list, object]]) -> object:
+        if len(pairs) == 1 and not pairs[0][0]:
+            return pairs[0][1]
+        groups: dict = {}
+        for keys, v in pairs:
+            groups.setdefault(keys[0], []).append((keys[1:], v))
+        if all(isinstance(k, int) for k in groups):
+            return [build(groups[k]) for k in sorted(groups)]
+        return {k: build(g) for k, g in groups.items()}
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        lines = [x for x in text.split("\n") if x]
+        parsed = [read(x) for x in lines]
+        if len(lines) == 1 and parsed[0] is None:
+            return json.dumps(value(lines[0]), ensure_ascii=False)
+        if not lines or None in parsed:
+            return None
+        return json.dumps(build([(k, value(v)) for k, v in parsed]), ensure_ascii=False)
+
+    @F.pandas_udf("string")
+    def back(x: pd.Series) -> pd.Series:
+        return x.map(one)
+
+    return rows.withColumn(name, back(column))

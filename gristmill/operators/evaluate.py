@@ -107,3 +107,22 @@ def fit_temperature(dump: DataFrame, rounds: int = 4) -> float:
         step = (high - low) / 16
         low, high = best - step, best + step
     return math.exp((low + high) / 2)
+
+
+def fit_temperature_by_size(dump: DataFrame, rounds: int = 4) -> tuple[float, float]:
+    """T and slope of T * (n / 2) ** slope of least log loss: a grid over both, narrowed around its best point in each round."""
+    box = [(math.log(0.05), math.log(20.0)), (-1.0, 1.0)]
+    for _ in range(rounds):
+        axes = [[a + (b - a) * i / 8 for i in range(9)] for a, b in box]
+        points = [(x, y) for x in axes[0] for y in axes[1]]
+
+        def loss(x: float, y: float) -> Column:
+            t = math.exp(x) * F.pow(F.col("n") / 2.0, F.lit(y))
+            z = F.transform("logits", lambda v: v / t)
+            top = F.array_max(z)
+            return F.avg(top + F.log(arrays.total(F.transform(z, lambda v: F.exp(v - top)))) - F.element_at(z, F.col("target").cast("int") + 1))
+
+        found = dump.agg(F.array(*(loss(x, y) for x, y in points)).alias("nll")).first().nll  # 81 numbers
+        best = points[min(range(len(points)), key=lambda i: (found[i], i))]
+        box = [(c - (b - a) / 8, c + (b - a) / 8) for c, (a, b) in zip(best, box, strict=True)]
+    return math.exp(sum(box[0]) / 2), sum(box[1]) / 2

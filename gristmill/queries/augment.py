@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import arrays, hashing
 from gristmill.operators import audit, sentinel
+from gristmill.operators import augment as A
 from gristmill.queries._base import EXAMPLES, dump, dump_sql, examples, query, table
 
 
@@ -114,3 +115,20 @@ def wording_predicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS paths FROM events""")
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.flatten_json(table(spark, sf_dir, "events").select("event_id", "props"), "props").select("event_id", "paths")
+
+
+_DRAW = "('0x' || substr(sha256('0:0:' || id || ':{0}'), 1, 16))::UBIGINT % 1000000 / 1000000.0"
+
+
+@query(f"""WITH {dump_sql()}, q AS (SELECT id, n >= 3 AND list_max(probs) >= 0.9 AND id % 9 <> 0 AS fits, id % 9 = 0 AS ordered, id % 2 = 0 AS described, {_DRAW.format("change")} AS u, {_DRAW.format("churn")} AS c, {_DRAW.format("decoy")} AS d FROM dump),
+x AS (SELECT *, CASE WHEN u < 0.06 THEN CASE WHEN fits THEN 'withheld' ELSE 'none' END WHEN u < 0.36 THEN CASE WHEN described THEN 'opaque' ELSE 'none' END WHEN u < 0.46 THEN CASE WHEN described AND NOT ordered THEN 'strip' ELSE 'none' END ELSE 'none' END AS change FROM q)
+SELECT id, c < 0.45 AND NOT ordered AS churn, change, fits AND change <> 'withheld' AND d < 0.36 AS decoy FROM x""")
+def augment_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _questions(spark, sf_dir).withColumns({"ordered": F.col("id") % 9 == 0, "described": F.col("id") % 2 == 0})
+    return A.policy(q, "id").select("id", "churn", "change", "decoy")
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = audit.flatten_json(table(spark, sf_dir, "events").select("event_id", "props"), "props")
+    return audit.unflatten_json(flat, "paths").select("event_id", F.get_json_object("json", "$.k").alias("k"))

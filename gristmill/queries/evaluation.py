@@ -119,6 +119,13 @@ def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(E.nll_at(d, [1.0, t]), "temperature", "nll")
 
 
+@query()
+def temperature_by_size_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A test recovers planted values."""
+    t, slope = E.fit_temperature_by_size(dump(spark, sf_dir))
+    return spark.range(1).select(F.round(F.lit(t), 4).alias("temperature"), F.round(F.lit(slope), 4).alias("slope"))
+
+
 @query(f"""WITH {D}, w AS (SELECT avg(ca) AS calibrated FROM (SELECT 1 AS ca)), b AS (SELECT n = 2 AS two, least(floor(confidence * 15), 14) AS bin, count(*) AS c, avg(confidence) AS conf, avg(correct) AS acc FROM dump GROUP BY ALL),
 b2 AS (SELECT least(floor(confidence * 15), 14) AS bin, count(*) AS c, avg(confidence) AS conf, avg(correct) AS acc FROM dump GROUP BY ALL), g AS (
 SELECT 'calibration' AS gate, sum(c * abs(conf - acc)) / sum(c) AS value, 0.05 AS bar FROM b2 UNION ALL SELECT CASE WHEN two THEN 'calibration_two' ELSE 'calibration_choice' END, sum(c * abs(conf - acc)) / sum(c), 0.08 FROM b GROUP BY two

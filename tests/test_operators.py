@@ -127,6 +127,29 @@ def test_flatten_json(spark):
     assert [r.paths for r in audit.flatten_json(rows, "j").collect()] == ['a.b[0]: 1\na.b[1]: x\na.b[2]: {}\n["c d"]: "1"', None, None, "[]"]
 
 
+def test_unflatten_is_the_inverse(spark):
+    import json
+
+    values = [{"a": {"b": [1, "x", {}, []]}, "c d": "1", "e": None, "t": "true", "n": -1.5}, [1, [2, {"k": "v: w"}]], "plain: text", 7, {}, [], {"q": "line\nbreak", "r": " pad "}]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i long, j string")
+    back = audit.unflatten_json(audit.flatten_json(rows, "j"), "paths").orderBy("i").collect()
+    assert [json.loads(r.json) for r in back] == values
+
+
+def test_temperature_by_size_recovers_slope(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(4000):
+        n = int(rng.choice([2, 4, 8]))
+        z = rng.normal(size=n) * 2
+        p = np.exp(z) / np.exp(z).sum()
+        rows.append((n, [float(x) for x in z * 2 * (n / 2) ** 0.5], int(rng.choice(n, p=p))))
+    t, slope = evaluate.fit_temperature_by_size(spark.createDataFrame(rows, "n long, logits array<double>, target long"))
+    assert abs(t - 2) < 0.3 and abs(slope - 0.5) < 0.15
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("t", "s", [("q1", "Good?", ["no", "yes"], "1", None, None, None), ("q2", "P?", ["no", "yes"], "[0.3,0.7]", None, None, None)])], jsonl.EXAMPLE)
     jsonl.write_examples(rows, str(tmp_path / "x"))
