@@ -146,13 +146,13 @@ def _bitmap(counts: DataFrame) -> np.ndarray:
     size = BITMAP_BITS // CHUNKS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros((CHUNKS, size), bool)
+        bits = np.zeros((CHUNKS, size // 8), np.uint8)
         for batch in batches:
             at = _bit(batch.column(0).to_numpy(zero_copy_only=False).view(U))
-            bits[(at % U(CHUNKS)).astype(np.int64), (at // U(CHUNKS)).astype(np.int64)] = True
-        used = np.flatnonzero(bits.any(axis=1))
-        for k in used:
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([np.packbits(bits[k]).tobytes()])], names=["chunk", "bits"])
+            within = at // U(CHUNKS)
+            np.bitwise_or.at(bits, ((at % U(CHUNKS)).astype(np.int64), (within >> U(3)).astype(np.int64)), np.uint8(128) >> (within & U(7)).astype(np.uint8))
+        for k in np.flatnonzero(bits.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([bits[k].tobytes()])], names=["chunk", "bits"])
 
     def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size // 8, np.uint8)
@@ -161,10 +161,10 @@ def _bitmap(counts: DataFrame) -> np.ndarray:
                 total |= np.frombuffer(b.as_py(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()])], names=["chunk", "bits"])
 
-    out = np.zeros((CHUNKS, size), bool)
+    out = np.zeros((CHUNKS, size // 8), np.uint8)
     for row in counts.select("token").mapInArrow(mark, "chunk long, bits binary").groupBy("chunk").applyInArrow(merge, "chunk long, bits binary").collect():  # CHUNKS rows at most
-        out[row.chunk] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
-    return np.packbits(out.ravel())
+        out[row.chunk] = np.frombuffer(row.bits, np.uint8)
+    return out.ravel()
 
 
 def _sets(texts_of: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def across_pairs(x: dict[str, np.ndarray], counts: np.ndarray) -> np.ndarray:
             need = -(-80 * (n[i] + n[j]) // 180)
             ok = np.flatnonzero((label[i] != label[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need))
             if len(ok):
-                ok = np.concatenate([k[np.minimum(counts[i[k]], counts[j[k]]).sum(1) >= need[k]] for k in np.array_split(ok, len(ok) // 100_000 + 1)])
+                ok = np.concatenate([k[np.minimum(counts[i[k]], counts[j[k]]).sum(1, dtype=np.int64) >= np.minimum(need[k], 4_000_000)] for k in np.array_split(ok, len(ok) // 100_000 + 1)])
             if len(ok):
                 found.append(np.sort(np.stack([sig[i[ok]], sig[j[ok]]], axis=1), axis=1))
                 if sum(map(len, found)) > 2 * max(1_000_000, len(found[0])):
@@ -357,8 +357,9 @@ def _across(sets: DataFrame, buckets: int, most: int = LIST_MOST) -> DataFrame:
         columns = {c: held.column(c).to_numpy() for c in _LIST}
         x = _ordered(columns | {"row": np.arange(held.num_rows)})
         raw = held.column("cells").to_pylist()
-        counts = np.frombuffer(b"".join(raw[r] or b"\xff" * COARSE for r in x["row"].tolist()), np.uint8).reshape(-1, COARSE).astype(np.int64)
-        counts[[not raw[r] for r in x["row"].tolist()]] = 1 << 40
+        counts = np.frombuffer(b"".join(raw[r] or b"\xff" * COARSE for r in x["row"].tolist()), np.uint8).reshape(-1, COARSE).astype(np.uint16)
+        counts[[not raw[r] for r in x["row"].tolist()]] = 65_535
+        del raw, columns, held
         pairs = across_pairs(x, counts)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
         tidy()
