@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,7 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[S
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark)
+        ship(spark)
         start = len(_scratch)
         out = f(spark, docs, sf_dir)
         _finished.extend(_scratch[start:])
@@ -76,5 +79,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, in case their Python doesn't find it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        root = Path(__file__).resolve().parents[1]
+        name = f"{tempfile.mkdtemp(prefix='gristmill-')}/{root.name}-{uuid.uuid4().hex[:8]}.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, str(p.relative_to(root.parent)))
+        context.addPyFile(name)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
