@@ -110,6 +110,14 @@ def hourly_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(n, "h", "left").select(F.concat(F.date_format("h", "yyyy-MM-dd-"), F.hour("h").cast("string")).alias("key"), F.coalesce("n", F.lit(0).cast("long")).alias("events"))
 
 
+@query("""WITH b AS (SELECT date_trunc('hour', min(ts)) AS a, date_trunc('hour', max(ts)) AS z FROM events), h AS (SELECT unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS h FROM b) SELECT strftime(h, '%Y-%m-%d-') || hour(h) AS key, count(e.event_id) AS events FROM h LEFT JOIN events e ON date_trunc('hour', e.ts) = h GROUP BY 1""")
+def hourly_archive_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As hourly_archive, from the first event's hour to the last one's."""
+    n = table(spark, sf_dir, "events").where("ts is not null").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    h = n.agg(F.min("h").alias("a"), F.max("h").alias("z")).select(F.explode(F.expr("sequence(a, z, interval 1 hour)")).alias("h"))
+    return h.join(n, "h", "left").select(F.concat(F.date_format("h", "yyyy-MM-dd-"), F.hour("h").cast("string")).alias("key"), F.coalesce("n", F.lit(0).cast("long")).alias("events"))
+
+
 @query("""SELECT event_id, json_extract_string(nullif(regexp_extract(a, '\\{.*\\}'), ''), '$.k') AS k FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Sure: ```json' || chr(10) || props || '``` done' WHEN 1 THEN props ELSE 'no answer' END AS a FROM events)""")
 def answer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The object between the first and the last brace of an answer; null without one."""
