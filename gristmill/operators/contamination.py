@@ -42,6 +42,20 @@ def short_matches(docs: DataFrame, short: DataFrame, doc: str = "doc_id", col: s
     return own.join(small(short), "h").select(doc, "item").distinct()
 
 
+def short_groups(docs: DataFrame, doc: str = "doc_id", col: str = "text") -> DataFrame:
+    """doc, h, item, items of each whole text of 3 to 11 tokens and each line of 6 to 11: the least document that holds it, and how many do.
+
+    Every document's short texts are items here.  What a document holds and what it lends as items is then the same set, so
+    the matches are the pairs within each h; their number grows with the square of a common line's documents, the rows here don't.
+    """
+    lines = F.filter(F.transform(F.split(F.col(col), "\n"), lambda x: text.tokens(x)), lambda w: F.size(w) >= LINE)
+    whole = F.filter(F.array(text.tokens(F.col(col))), lambda w: F.size(w) >= SHORT)
+    kept = F.filter(F.array_union(whole, lines), lambda w: F.size(w) < LONG)
+    own = docs.select(doc, F.explode_outer(F.transform(kept, lambda w: F.md5(F.array_join(w, " ")))).alias("h")).where("h is not null").distinct()
+    groups = own.groupBy("h").agg(F.min(doc).alias("item"), F.count(F.lit(1)).alias("items"))
+    return own.join(groups, "h").select(doc, "h", "item", "items")
+
+
 def blocked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", col: str = "text", item: str = "item_id") -> DataFrame:
     """Ids of blocked documents."""
     long, short = blocklist(items, item)
