@@ -25,6 +25,7 @@ columns are ignored.  doc_id must be an integer; it needn't be unique.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ from gristmill.llm.textkernel import SALT, U, mix, parts, prefix_hash, slices, s
 
 LENGTH, GRAM = 400, 200
 SIDE = LENGTH - GRAM
+#: A passage of over WORDS words has 51 letters and 50 separators at least: these lengths find all of them.  SIDE is a multiple of 8.
+WORDS, PASSAGE_LENGTH, PASSAGE_GRAM = 50, 101, 45
 #: Occurrences of an anchor that are compared in one task; more go another way.
 GROUP_MOST = 5_000
 #: Contexts of a bucket, and window hashes of a bucket of frequent anchors, about.
@@ -46,28 +49,29 @@ BROADCAST = 400_000
 _LOW32 = U(0xFFFFFFFF)
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, place and hash of every anchor."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
+    side = length - gram
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
-    if len(buf) < LENGTH:
+    if len(buf) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
-    at = np.arange(len(buf) - GRAM + 1)
-    h = span_hash(prefix_hash(buf), at, at + GRAM)
+    at = np.arange(len(buf) - gram + 1)
+    h = span_hash(prefix_hash(buf), at, at + gram)
     # ordered by hash, then the last place first
     key = (h & ~_LOW32) | (_LOW32 - at.astype(U))
-    w = SIDE + 1
+    w = side + 1
     rows = np.full(-(-len(key) // w) * w, ~U(0), U)
     rows[: len(key)] = key
     ahead = np.minimum.accumulate(rows.reshape(-1, w), axis=1).ravel()
     behind = np.minimum.accumulate(rows.reshape(-1, w)[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(buf) - LENGTH + 1
+    n = len(buf) - length + 1
     least = np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
     inside = np.zeros(n + 1, np.int8)
-    long = sizes >= LENGTH
+    long = sizes >= length
     np.add.at(inside, (ends - sizes)[long], 1)
-    np.add.at(inside, (ends - LENGTH + 1)[long], -1)
+    np.add.at(inside, (ends - length + 1)[long], -1)
     least = least[np.cumsum(inside[:n]).astype(bool)]
     if not len(least):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
@@ -77,16 +81,16 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, place - (ends - sizes)[text], h[place]
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches):
         texts = utf8(batch.column("text"))
         for a, b in slices(texts):
-            text, place, h = anchors(texts[a:b])
+            text, place, h = anchors(texts[a:b], length, gram)
             take = pa.array(text + a)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(place), pa.array(h.view(np.int64))], names=["doc_id", "th", "place", "h"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The bytes before (reversed) and after each repeated anchor."""
     kinds = {"doc_id": pa.int64(), "th": pa.int64(), "place": pa.int64(), "h": pa.int64(), "frequent": pa.bool_(), "before": pa.binary(), "after": pa.binary()}
     rows: dict[str, list] = {c: [] for c in kinds}
@@ -102,18 +106,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, th, text = doc.as_py(), th.as_py(), value.as_py().encode()
             for x in {x["place"]: x for x in found.as_py()}.values():  # rows of the same id and text list theirs together
                 p = x["place"]
-                for c, v in zip(kinds, (doc, th, p, x["h"], x["frequent"], text[max(0, p - SIDE) : p][::-1], text[p + GRAM : p + LENGTH]), strict=True):
+                for c, v in zip(kinds, (doc, th, p, x["h"], x["frequent"], text[max(0, p - (length - gram)) : p][::-1], text[p + gram : p + length]), strict=True):
                     rows[c].append(v)
             if len(rows["h"]) >= BUCKET:
                 yield full()
     yield full()
 
 
-def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte strings of at most SIDE bytes as rows padded with zeros, and their lengths."""
+def _matrix(column: pa.ChunkedArray, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings of at most `side` bytes as rows padded with zeros, and their lengths."""
     raw = column.to_pylist()
     size = np.fromiter(map(len, raw), np.int64, len(raw))
-    return np.frombuffer(b"".join(x.ljust(SIDE, b"\0") for x in raw), np.uint8).reshape(len(raw), SIDE), size
+    return np.frombuffer(b"".join(x.ljust(side, b"\0") for x in raw), np.uint8).reshape(len(raw), side), size
 
 
 def _words(m: np.ndarray) -> np.ndarray:
@@ -123,7 +127,7 @@ def _words(m: np.ndarray) -> np.ndarray:
 def _common(m: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Lengths of the common prefixes of rows i and rows j."""
     differ = m[i] != m[j]
-    first = np.where(differ.any(axis=1), differ.argmax(axis=1), SIDE)
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), m.shape[1])
     return np.minimum(first, np.minimum(size[i], size[j]))
 
 
@@ -139,8 +143,8 @@ def intervals(prefix: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((first, r))
 
 
-def maximal_extents(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes before and after (from its start) that each anchor's repeats of LENGTH bytes or more cover; -1 for none."""
+def maximal_extents(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes before and after (from its start) that each anchor's repeats of `length` bytes or more cover; -1 for none."""
     n = len(h)
     left, right = np.full(n, -1), np.full(n, -1)
     if n < 2:
@@ -154,10 +158,10 @@ def maximal_extents(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after:
     twos: list[tuple[int, int, int]] = []
 
     def cover(rows: np.ndarray, shared: np.ndarray, r: np.ndarray | int) -> None:
-        ok = shared + GRAM + r >= LENGTH
+        ok = shared + gram + r >= length
         rows, shared, r = rows[ok], shared[ok], np.broadcast_to(r, shared.shape)[ok]
         np.maximum.at(left, rows, shared)
-        np.maximum.at(right, rows, r + GRAM)
+        np.maximum.at(right, rows, r + gram)
 
     for first, last, r in intervals(prefix):
         if last == first + 1:
@@ -184,10 +188,10 @@ def _spans(doc: np.ndarray, th: np.ndarray, start: np.ndarray, stop: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, th, start, stop)], names=["doc_id", "th", "start", "stop"])
 
 
-def _bucket(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(parts: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     held = pa.Table.from_batches(list(parts))
     column = lambda c: held.column(c).to_numpy()
-    left, right = maximal_extents(column("h"), _matrix(held.column("before")), _matrix(held.column("after")))
+    left, right = maximal_extents(column("h"), _matrix(held.column("before"), length - gram), _matrix(held.column("after"), length - gram), length, gram)
     ok = right >= 0
     place = column("place")[ok]
     docs = held.column("doc_id").filter(pa.array(ok))
@@ -196,23 +200,24 @@ def _bucket(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def window_hashes(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, anchor and bytes before the anchor of each LENGTH-byte window around the anchors."""
+    """Hash, anchor and bytes before the anchor of each window around the anchors, of as many bytes besides the anchor as contexts have."""
     (b, b_size), (a, a_size) = before, after
+    side = b.shape[1]
 
     def ladder(m: np.ndarray) -> np.ndarray:
-        power = np.multiply.accumulate(np.full(SIDE, U(0x9E3779B97F4A7C15)))
-        out = np.zeros((len(m), SIDE + 1), U)
+        power = np.multiply.accumulate(np.full(side, U(0x9E3779B97F4A7C15)))
+        out = np.zeros((len(m), side + 1), U)
         np.cumsum(SALT[m] * power, axis=1, out=out[:, 1:])
         return out
 
-    l = np.arange(SIDE + 1)  # noqa: E741
+    l = np.arange(side + 1)  # noqa: E741
     key = mix(mix(ladder(b) ^ SALT[1]) + mix(ladder(a)[:, ::-1] ^ SALT[2]) * U(3) + mix(h.view(U))[:, None] + l.astype(U))
-    ok = (l <= b_size[:, None]) & (SIDE - l <= a_size[:, None])
+    ok = (l <= b_size[:, None]) & (side - l <= a_size[:, None])
     who, lead = np.nonzero(ok)
     return key[ok], who, lead
 
 
-def _frequent(contexts: DataFrame, buckets: int) -> DataFrame:
+def _frequent(contexts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
     """Spans of windows that occur twice, for anchors of any number of occurrences."""
     none = np.uint32(0xFFFFFFFF)
 
@@ -222,11 +227,11 @@ def _frequent(contexts: DataFrame, buckets: int) -> DataFrame:
                 batch = big.slice(at, 2000)
                 held = pa.Table.from_batches([batch])
                 place, doc, th = (held.column(c).to_numpy() for c in ("place", "doc_id", "th"))
-                key, who, lead = window_hashes(held.column("h").to_numpy(), _matrix(held.column("before")), _matrix(held.column("after")))
+                key, who, lead = window_hashes(held.column("h").to_numpy(), _matrix(held.column("before"), length - gram), _matrix(held.column("after"), length - gram))
                 key, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 again = n[back] > 1
                 start = place[who[again]] - lead[again]
-                own = _merged(doc[who[again]], th[who[again]], start)
+                own = _merged(doc[who[again]], th[who[again]], start, length)
                 owner = np.where(n > 1, none, who[first].astype(np.uint32))
                 of = (key % U(buckets)).astype(np.int64)
                 order = np.argsort(of, kind="stable")
@@ -259,19 +264,19 @@ def _frequent(contexts: DataFrame, buckets: int) -> DataFrame:
         doc, th, start = (np.frombuffer(b"".join(got[c]), np.int64) for c in ("docs", "ths", "starts"))
         _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
         hit = (n[back] > 1) & (start >= 0)
-        yield _spans(*_merged(doc[hit], th[hit], start[hit]))
+        yield _spans(*_merged(doc[hit], th[hit], start[hit], length))
 
     dealt = contexts.mapInArrow(deal, "bucket long, keys binary, docs binary, ths binary, starts binary, own binary")
     return dealt.groupBy("bucket").applyInArrow(meet, _SPAN)
 
 
-def _merged(doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+def _merged(doc: np.ndarray, th: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Windows' starts as spans, those that touch united."""
     order = np.lexsort((start, th, doc))
     doc, th, start = doc[order], th[order], start[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] > start[:-1] + LENGTH))[: len(doc)]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] > start[:-1] + length))[: len(doc)]
     last = np.append(new[1:], True)[: len(doc)]
-    return doc[new], th[new], start[new], start[last] + LENGTH
+    return doc[new], th[new], start[new], start[last] + length
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -289,10 +294,10 @@ def _near(lists: DataFrame, column: str) -> DataFrame:
     return F.broadcast(lists) if rows + (members or 0) <= BROADCAST else lists
 
 
-def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, text) of texts with a repeated anchor, and (doc_id, th, spans) with their covered spans, not yet united."""
     keyed = _keyed(docs)
-    found = cut(keyed.where(F.length("text") >= LENGTH // 4).mapInArrow(_anchored, "doc_id long, th long, place long, h long"), "anchors")
+    found = cut(keyed.where(F.length("text") >= length // 4).mapInArrow(lambda b: _anchored(b, length, gram), "doc_id long, th long, place long, h long"), "anchors")
     counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("again"), (F.col("n") > group_most).alias("frequent"))
     marked = found.join(counts, F.col("h") == F.col("again")).groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "h", "frequent")).alias("found"))
     # Rows with the same id and text share one list; each such row then has it.
@@ -302,12 +307,16 @@ def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST) -> tuple[DataF
     texts = cut(texts.select("doc_id", "th", "text", "found"), "candidates")
     sizes = texts.select(F.size("found").alias("n"), F.expr("size(filter(found, x -> x.frequent))").alias("hot")).agg(F.sum("n"), F.sum("hot")).first()
     total, hot = int(sizes[0] or 0), int(sizes[1] or 0)
-    contexts = texts.mapInArrow(_contexts, "doc_id long, th long, place long, h long, frequent boolean, before binary, after binary")
+    contexts = texts.mapInArrow(lambda b: _contexts(b, length, gram), "doc_id long, th long, place long, h long, frequent boolean, before binary, after binary")
     buckets = max(12, total // BUCKET + 1)
     dealt = contexts.where("not frequent").withColumn("bucket", F.expr(f"pmod(xxhash64(h), {buckets})"))
-    spans = dealt.groupBy("bucket").applyInArrow(_bucket, _SPAN)
+
+    def bucket(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _bucket(parts, length, gram)
+
+    spans = dealt.groupBy("bucket").applyInArrow(bucket, _SPAN)
     if hot:
-        spans = spans.unionAll(_frequent(contexts.where("frequent"), max(12, hot * (SIDE + 1) // HOT_BUCKET + 1)))
+        spans = spans.unionAll(_frequent(contexts.where("frequent"), max(12, hot * (length - gram + 1) // HOT_BUCKET + 1), length, gram))
     spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     return texts.select("doc_id", "th", "text"), _near(spans, "spans")
 
@@ -323,6 +332,11 @@ def united(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+def passages(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those runs that have over WORDS words or LENGTH bytes."""
+    return [(a, b) for a, b in runs if b - a >= LENGTH or len(re.findall(r"[^\W_]+", text[a:b].decode(errors="ignore"))) > WORDS]
+
+
 def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for run in runs for x in run), len(text)]
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -351,12 +365,18 @@ def report(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     return out.select("doc_id", "n_bytes", zero("removed").alias("n_removed"), zero("count").alias("n_spans"), F.coalesce("digest", "whole").alias("kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
+def _left(text: bytes, spans: list[dict], length: int) -> str:
+    runs = united(spans)
+    return without(text, runs if length >= LENGTH else passages(text, runs)).decode(errors="ignore")
+
+
+def remove_repeats(docs: DataFrame, group_most: int = GROUP_MOST, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with their repeats removed from text and n_chars brought up to date; documents left without any text go.
 
     A character that is cut in part goes wholly.  Columns stay as they are otherwise.
+    With a length under LENGTH, runs of repeats go only if they have over WORDS words or LENGTH bytes.
     """
-    _, spans = repeated_spans(docs, group_most)
+    _, spans = repeated_spans(docs, group_most, length, gram)
     s = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("spans").alias("_spans"))
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.withColumn("_th", F.xxhash64(whole)).join(s, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
@@ -364,7 +384,7 @@ def remove_repeats(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             text = batch.schema.get_field_index("text")
-            kept = [x.as_py() if own is None else without(x.as_py().encode(), united(own)).decode(errors="ignore") for x, own in zip(batch.column(text), batch.column("_spans").to_pylist(), strict=True)]
+            kept = [x.as_py() if own is None else _left(x.as_py().encode(), own, length) for x, own in zip(batch.column(text), batch.column("_spans").to_pylist(), strict=True)]
             columns = [pa.array(kept, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("_spans",)]
             names = [f.name for f in batch.schema if f.name != "_spans"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
