@@ -422,8 +422,8 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, tag: str) -> Dat
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), f"links_{tag}")
 
 
-def groups(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _labelled(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
+    """doc_id, th, n, label of every row; label: of its component, null without shingles."""
     text = F.col("text").cast("string")
     texts = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     rows = _sets(texts)
@@ -440,18 +440,28 @@ def groups(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
         new = _links(pairs, sets, texts, tag)
         links = new if links is None else links.unionAll(new)
         labels = components(links)
-    named = rows.select("doc_id", "n", "sig").join(labels.select(F.col("u").alias("sig"), F.col("v").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    named = rows.select("doc_id", "th", "n", "sig").join(labels.select(F.col("u").alias("sig"), F.col("v").alias("label")), "sig", "left")
+    return named.select("doc_id", "th", "n", F.coalesce("label", "sig").alias("label"))
+
+
+def groups(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    named = _labelled(docs, list_most)
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, that of the smallest id; columns stay as they are.
+    """docs with one row of each group, that of the smallest id, then of the least hash of its text; columns stay as they are.
 
-    Rows with the same id and text fall to one; different texts under one id are kept or dropped together.
+    Rows with the same id and text fall to one; different texts under one id, or without an id, are judged each by itself.
     """
-    found = cut(groups(docs), "groups")
-    gone = small(cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone"), WANTED)
-    rest = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    found = cut(_labelled(docs), "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
+    first = found.where("label is not null").groupBy("label").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    gone = found.join(first, "label").where(~own).select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")).distinct()
+    gone = small(cut(gone, "gone"), WANTED)
+    rest = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_gone_th")), "left_anti")
+    again = found.groupBy("doc_id", "th").count().where("count > 1").limit(1).count()
     return rest.dropDuplicates(["doc_id", "text"]) if again else rest

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from gristmill.llm import repeats
+from gristmill.llm import jaccard, repeats
 
 DOCS = "doc_id long, text string"
 
@@ -35,3 +35,12 @@ def test_pipeline_removes_frequent_passages_of_51_words(spark):
     docs = spark.createDataFrame([(i, f"{words(rng, 30)} {passage} {words(rng, 30)}") for i in range(12)], DOCS)
     left = repeats.remove_repeats(docs, 4, repeats.PASSAGE_LENGTH, repeats.PASSAGE_GRAM).collect()
     assert len(left) == 12 and not any(passage in r.text for r in left)
+
+
+def test_one_each_judges_texts_under_one_id_apart(spark):
+    rng = random.Random(7)
+    a, b, c, d = (words(rng, 120) for _ in range(4))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c + " more"), (None, a + " again"), (None, d), (4, d + " more"), (None, b[::-1])]
+    left = {tuple(r) for r in jaccard.one_each(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {(1, a), (2, b), (4, d + " more"), (None, b[::-1])} < left and len(left) == 5
+    assert len(left & {(3, c), (3, c + " more")}) == 1
