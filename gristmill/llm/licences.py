@@ -19,6 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.llm.licence_texts import APACHE_2_0
+
 # Spellings and words that count as equal, as the public licence-matching guidelines have them.
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sublicence", "sublicense"), ("sub license", "sublicense"),
@@ -57,6 +59,15 @@ LICENCES = {
     "ISC": (_ISC, "ISC License\n" + _ISC), "BSD-2-Clause": (_BSD_HEAD + _BSD_TAIL, "BSD 2-Clause License\n" + _BSD_HEAD + _BSD_TAIL),
     "BSD-3-Clause": (_BSD_HEAD + _BSD_THIRD + _BSD_TAIL, "BSD 3-Clause License\n" + _BSD_HEAD + _BSD_THIRD + _BSD_TAIL), "Zlib": (_ZLIB, "zlib License\n" + _ZLIB), "Apache-2.0": (_APACHE,),
 }
+
+
+def _layouts(text: str) -> tuple[str, ...]:
+    """The text as it is and with one line a paragraph: canonical() takes out whole lines, so line breaks count."""
+    return text, "\n".join(" ".join(x.split()) for x in text.split("\n\n"))
+
+
+#: Entire texts of long licences, with and without their appendix; the SQL beside op8 has LICENCES only.
+LONG_LICENCES = {"Apache-2.0": (*_layouts(APACHE_2_0), *_layouts(APACHE_2_0[: APACHE_2_0.index("   APPENDIX:")]))}
 NOTICES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0."),
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License."),
@@ -98,8 +109,9 @@ def scan(docs: DataFrame, licences: dict[str, tuple[str, ...]] | None = None, no
     """doc_id, digest, licence (of the entire text), n_notices (lines) and notices (their distinct names, sorted) of every row."""
     spark = docs.sparkSession
     both = {**(notices or NOTICES)}
-    for name, variants in (licences or LICENCES).items():
-        both[name] = (*both.get(name, ()), *variants)
+    for part in (licences,) if licences else (LICENCES, LONG_LICENCES):
+        for name, variants in part.items():
+            both[name] = (*both.get(name, ()), *variants)
     text = F.col("text").cast("string")
     whole = canonical(text)
     digest = F.when(whole != "", F.sha2(whole.cast("binary"), 256))

@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from gristmill.llm import jaccard, repeats
+from gristmill.llm import jaccard, licences, repeats
+from gristmill.llm.licence_texts import APACHE_2_0
 
 DOCS = "doc_id long, text string"
 
@@ -44,3 +45,10 @@ def test_one_each_judges_texts_under_one_id_apart(spark):
     left = {tuple(r) for r in jaccard.one_each(spark.createDataFrame(rows, DOCS)).collect()}
     assert {(1, a), (2, b), (4, d + " more"), (None, b[::-1])} < left and len(left) == 5
     assert len(left & {(3, c), (3, c + " more")}) == 1
+
+
+def test_licences_know_the_whole_apache_text(spark):
+    flat = "\n\n".join(" ".join(x.split()) for x in APACHE_2_0.split("\n\n"))
+    texts = [APACHE_2_0, flat, APACHE_2_0.split("   APPENDIX:")[0], APACHE_2_0.replace("Licensor", "Lender")]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == {0: "Apache-2.0", 1: "Apache-2.0", 2: "Apache-2.0", 3: None}
