@@ -10,8 +10,8 @@ pages; the levels above work on these counts.  Host posteriors are broadcast to
 Three numbers a level come to the driver.
 
 Edge cases: a url that is null or has no `://` has an empty host and path, judged like any host; reputation leaves out a host's
-user name and port, rules do not; a suffix is the last label, a registered domain the last two, a one-label host its own
-domain and suffix; outcomes for unknown pages, with a null flag or a null id count for nothing, several of one page count
+user name and port, rules do not; a suffix is the last label or one of SUFFIXES, a registered domain has one label more, a
+one-label host and an IP address are their own domain and suffix; outcomes for unknown pages, with a null flag or a null id count for nothing, several of one page count
 once each; repeated rows get equal verdicts; an empty table gives no rows; further columns are ignored.
 """
 
@@ -27,6 +27,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 #: Standard deviations below the posterior mean, and the bad share that this bound must exceed.
 Z, THRESHOLD = 1.645, 0.25
 STRENGTHS = (1e-3, 0.999)  # of the correlation within a unit
+#: Common public suffixes of two labels.
+SUFFIXES = tuple(f"{a}.{b}" for b, own in {"uk": "ac co gov ltd me net nhs org plc sch", "au": "com edu gov net org", "nz": "ac co govt net org", "jp": "ac co go ne or", "br": "com gov net org", "za": "ac co gov org", "in": "ac co gov net org", "kr": "ac co go or", "cn": "com edu gov net org", "tw": "com edu gov org", "hk": "com edu gov org", "sg": "com edu gov org", "mx": "com gob org", "ar": "com gob org", "tr": "com gov org", "il": "ac co org"}.items() for a in own.split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,8 +52,11 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 def _levels(host: Column) -> tuple[Column, Column, Column]:
     bare = F.regexp_replace(F.regexp_replace(host, "^[^@]*@", ""), ":[0-9]*$", "")
-    domain = F.regexp_extract(bare, "[^.]*(\\.[^.]*)?$", 0)
-    return bare, domain, F.regexp_extract(domain, "[^.]*$", 0)
+    last = F.regexp_extract(bare, r"(?:^|\.)(" + "|".join(x.replace(".", r"\.") for x in SUFFIXES) + ")$", 1)
+    ip = F.regexp_like(bare, F.lit(r"^[0-9]+(\.[0-9]+){3}$|^\[.*\]$"))
+    suffix = F.when(ip, bare).when(last != "", last).otherwise(F.regexp_extract(bare, "[^.]*$", 0))
+    domain = F.when(ip, bare).when(last != "", F.regexp_extract(bare, r"([^.]*\.)?[^.]*\.[^.]*$", 0)).otherwise(F.regexp_extract(bare, "[^.]*(\\.[^.]*)?$", 0))
+    return bare, domain, suffix
 
 
 def _strength(units: DataFrame) -> float:

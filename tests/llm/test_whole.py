@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from gristmill.llm import jaccard, licences, repeats
+from gristmill.llm import jaccard, licences, repeats, reputation
 from gristmill.llm.licence_texts import APACHE_2_0
 
 DOCS = "doc_id long, text string"
@@ -52,3 +53,10 @@ def test_licences_know_the_whole_apache_text(spark):
     texts = [APACHE_2_0, flat, APACHE_2_0.split("   APPENDIX:")[0], APACHE_2_0.replace("Licensor", "Lender")]
     got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert got == {0: "Apache-2.0", 1: "Apache-2.0", 2: "Apache-2.0", 3: None}
+
+
+def test_reputation_levels_of_long_suffixes_and_addresses(spark):
+    hosts = {"a.b.x.co.uk": ("x.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "y.com.au:80": ("y.com.au", "com.au"), "10.0.0.7:8080": ("10.0.0.7",) * 2, "[::1]:80": ("[::1]",) * 2, "a.example.com": ("example.com", "com"), "local": ("local", "local"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    _, domain, suffix = reputation._levels(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
