@@ -17,9 +17,12 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and everything runs in this process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -79,6 +82,28 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key of more rows is hot; so many hot keys are broadcast, and beyond them salted.
+HOT_ROWS, HOT_KEYS, SALTS = 5_000, 200_000, 16
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, most: int = HOT_ROWS, keys: int = HOT_KEYS) -> DataFrame:
+    """left joined with right by key; both are written tables, and right has one row a key and, as n, left's rows of that key.
+
+    Rows of keys with over `most` rows meet theirs by a broadcast, if such keys are at most `keys`, or else over SALTS salts; they
+    take no part in the shuffle by key, so no task gets all rows of one.
+    """
+    hot, cold = right.where(F.col("n") > most), right.where(F.col("n") <= most)
+    on = [key]
+    if hot.count() <= keys:
+        hot = F.broadcast(hot)
+    else:
+        on = [key, "salt_"]
+        hot = hot.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left = left.withColumn("salt_", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    some, rest = left.join(hot, on), left.join(hot.select(*on), on, "left_anti").drop("salt_").join(cold, key)
+    return some.drop("salt_", "n").unionByName(rest.drop("n"))
+
+
 _shipped: set[str] = set()
 
 

@@ -13,15 +13,17 @@ Plan (D: documents, S: distinct sets):
     Star rounds: each member is compared with one hub of its list, the smallest or largest of fitting size, or one drawn.  Before the
     shuffle each block of sets does this for itself and passes on only its members of a list's extreme sizes.
     Members that link to a hub take its answer, its component; pairs within a component are never compared.
- 4. Last round: members of lists that still hold several components are compared across these.  A list's rows are skipped
-    in blocks: beyond the fitting sizes, and where the position leaves too few shingles for the overlap needed.
+ 4. Last round: members of lists that still hold several components are compared across these.  A list's entries form blocks
+    of BLOCK; two blocks are skipped as wholes beyond the fitting sizes, where their positions leave too few shingles for
+    the overlap needed, and where both hold one and the same component.
  5. Each candidate pair is checked on its whole texts.  Components come from alternating stars.
 
 Every link between different sets is found or implied by a path of found links, so components are exact.  Equal sets
 count once.  A set is identified by a 64-bit hash of its sorted hashes and its size.
 
 Edge cases: null texts and texts without words have no set, no links and themselves as component; fewer than five words
-form one shingle; repeated rows fall together; an empty table gives no rows; further columns are ignored.
+form one shingle; a text of any length is hashed whole; repeated rows fall together; an empty table gives no rows; further
+columns are ignored by groups() and kept by one_each(), whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._util import cut, small
+from gristmill.llm._util import cut, ship, small, spread_join
 from gristmill.llm.components import components
 from gristmill.llm.textkernel import SALT, U, Words, grams, mix, parts, slices, tidy, utf8
 
@@ -55,6 +57,8 @@ WANTED = 250_000
 CELLS, COARSE = 256, 64
 #: Entries of a list that one task of the last round takes at most; longer lists are dealt into parts.
 LIST_MOST = 20_000
+#: Entries of a block of a list, which is skipped as a whole.
+BLOCK = 32
 #: Prefix shingles of one bucket of lists, about.
 BUCKET = 1_500_000
 
@@ -221,8 +225,8 @@ def _unpack(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 
 def _ordered(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """By shingle, size, set; each set once a list."""
-    order = np.lexsort((x["sig"], x["n"], x["token"]))
+    """By shingle, size, position, set; each set once a list."""
+    order = np.lexsort((x["sig"], x["place"], x["n"], x["token"]))
     x = {c: v[order] for c, v in x.items()}
     if len(order):
         fresh = np.append(True, (x["token"][1:] != x["token"][:-1]) | (x["sig"][1:] != x["sig"][:-1]))
@@ -265,6 +269,37 @@ def coarse(cells: bytes) -> bytes:
     return c.astype(np.uint8).tobytes() if c.max() < 256 else b""
 
 
+def _blocks(x: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """First entry, end, list, least and largest size, most room, least and largest component of each block of at most BLOCK entries of a list."""
+    run, first, _ = _runs(x["token"])
+    at = np.flatnonzero((np.arange(len(run)) - first[run]) % BLOCK == 0)
+    over = lambda f, v: f.reduceat(v, at)
+    room = x["n"] - x["place"]
+    return at, np.append(at[1:], len(run)), run[at], x["n"][at], over(np.maximum, x["n"]), over(np.maximum, room), over(np.minimum, x["label"]), over(np.maximum, x["label"])
+
+
+def block_pairs(x: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First entries and ends of blocks of a list, two and two, that sizes, positions and components don't rule out.
+
+    Entries ascend by size, then position.  What two sets still share from an entry on is at most the rest of the shorter one, so two
+    blocks are skipped as wholes where the most room of either is below the least overlap that their sizes need.
+    """
+    at, end, run, small_, large, room, low, high = _blocks(x)
+    i = np.arange(len(at))
+    for step in range(len(at)):
+        i = i[i + step < len(at)]
+        i = i[run[i] == run[i + step]]
+        i = i[80 * small_[i + step] <= 100 * large[i]]  # sizes ascend: all further blocks are beyond reach
+        if not len(i):
+            return
+        j = i + step
+        need = -(-80 * (small_[i] + small_[j]) // 180)
+        one = (low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])
+        ok = (np.minimum(room[i], room[j]) >= need) & ~one
+        if ok.any():
+            yield at[i[ok]], end[i[ok]], at[j[ok]], end[j[ok]]
+
+
 def across_pairs(x: dict[str, np.ndarray], counts: np.ndarray) -> np.ndarray:
     """All pairs of a list's entries of different components that sizes, positions and counts allow to link.
 
@@ -272,22 +307,22 @@ def across_pairs(x: dict[str, np.ndarray], counts: np.ndarray) -> np.ndarray:
     """
     found = [np.zeros((0, 2), np.int64)]
     if len(x["token"]):
-        _, _, last = _runs(x["token"])
-        end = np.repeat(last, np.diff(np.append(-1, last)))
-        i = np.arange(len(end))
-        n, place, label, sig = x["n"], x["place"], x["label"], x["sig"]
-        step = 0
-        while len(i):
-            step += 1
-            i = i[i + step <= end[i]]
-            i = i[80 * n[i + step] <= 100 * n[i]]  # sizes ascend: the rest of the list is beyond reach
-            j = i + step
-            need = -(-80 * (n[i] + n[j]) // 180)
-            ok = np.flatnonzero((label[i] != label[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need))
-            if len(ok):
-                ok = np.concatenate([k[np.minimum(counts[i[k]], counts[j[k]]).sum(1, dtype=np.int64) >= np.minimum(need[k], 4_000_000)] for k in np.array_split(ok, len(ok) // 100_000 + 1)])
-            if len(ok):
-                found.append(np.sort(np.stack([sig[i[ok]], sig[j[ok]]], axis=1), axis=1))
+        n, label, sig = x["n"], x["label"], x["sig"]
+        room = n - x["place"]
+        for a, a_end, b, b_end in block_pairs(x):
+            for k in np.array_split(np.arange(len(a)), len(a) * BLOCK * BLOCK // 1_000_000 + 1):
+                i = (a[k][:, None] + np.arange(BLOCK))[:, :, None]
+                j = (b[k][:, None] + np.arange(BLOCK))[:, None, :]
+                i, j = (v[(i < a_end[k][:, None, None]) & (j < b_end[k][:, None, None]) & (i < j)] for v in np.broadcast_arrays(i, j))
+                ok = (label[i] != label[j]) & (80 * n[j] <= 100 * n[i])
+                i, j = i[ok], j[ok]
+                need = -(-80 * (n[i] + n[j]) // 180)
+                ok = np.minimum(room[i], room[j]) >= need
+                i, j, need = i[ok], j[ok], np.minimum(need[ok], 4_000_000)
+                for part in np.array_split(np.arange(len(i)), len(i) // 100_000 + 1):
+                    ok = part[np.minimum(counts[i[part]], counts[j[part]]).sum(1, dtype=np.int64) >= need[part]]
+                    if len(ok):
+                        found.append(np.sort(np.stack([sig[i[ok]], sig[j[ok]]], axis=1), axis=1))
                 if sum(map(len, found)) > 2 * max(1_000_000, len(found[0])):
                     found = [np.unique(np.concatenate(found), axis=0)]
     pairs = np.concatenate(found)
@@ -424,6 +459,7 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, tag: str) -> Dat
 
 def _labelled(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
     """doc_id, th, n, label of every row; label: of its component, null without shingles."""
+    ship(docs.sparkSession)
     text = F.col("text").cast("string")
     texts = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     rows = _sets(texts)
@@ -446,9 +482,10 @@ def _labelled(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
 
 def groups(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    named = _labelled(docs, list_most)
-    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = cut(_labelled(docs, list_most), "labelled")
+    least = cut(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    some = spread_join(named.withColumnRenamed("n", "n_shingles").where("label is not null"), least, "label").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return some.unionAll(named.where("label is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
 def one_each(docs: DataFrame) -> DataFrame:
@@ -458,10 +495,12 @@ def one_each(docs: DataFrame) -> DataFrame:
     """
     found = cut(_labelled(docs), "groups")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
-    first = found.where("label is not null").groupBy("label").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    first = found.where("label is not null").groupBy("label").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    gone = found.join(first, "label").where(~own).select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")).distinct()
+    gone = spread_join(found.select("doc_id", "th", "label"), cut(first, "first"), "label").where(~own).select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
     gone = small(cut(gone, "gone"), WANTED)
-    rest = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_gone_th")), "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    rest = rows.join(gone, F.col("id").eqNullSafe(F.col("d")) & F.xxhash64("text").eqNullSafe(F.col("t")), "left_anti")
     again = found.groupBy("doc_id", "th").count().where("count > 1").limit(1).count()
-    return rest.dropDuplicates(["doc_id", "text"]) if again else rest
+    rest = rest.dropDuplicates(["id", "text"]) if again else rest
+    return rest.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -14,7 +14,8 @@ the data on the driver: a lexicon of LEXICON words, one row a domain, STEPS vect
 
 Edge cases: a null or empty text has no tokens and its prior's posteriors; without labels, posteriors are uniform; label
 rows with a null or an unknown document count for nothing, several for one document count once each; a domain without
-labelled rows has posterior 0 and its target is left out; equal rows get equal rates; an empty table gives no rows.
+labelled rows has posterior 0 and its target is left out; equal rows get equal rates; texts of any length are read whole; an
+empty table gives no rows; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -174,9 +175,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs, each row as often as its copies say."""
     given = cut(rates(docs, labels, targets).select("doc_id", "th", "copies"), "rates")  # each rate is folded once
-    made = given.where("copies <> 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("copies").alias("_copies")).distinct()
-    made = small(made, CHANGED)
+    made = small(given.where("copies <> 1").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "copies").distinct(), CHANGED)
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("_th", th).join(made, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    often = joined.where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
-    return often.select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), th.alias("th"))
+    often = rows.join(made, F.col("id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
+    return often.select("row", F.explode(F.expr("sequence(1, copies)"))).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -1,45 +1,66 @@
-"""Exact removal of repeated 400-byte strings, by maximal repeats of a sparse enhanced suffix array.
+"""Exact removal of repeated strings, by maximal repeats of a sparse enhanced suffix array.
 
-Anchors: a GRAM-byte string is an anchor where its hash is the least of all that start in some LENGTH - GRAM + 1 places in a
-row.  Equal LENGTH-byte strings have an equal anchor at the same place, so every repeat shows at a repeated anchor.
+A Scheme says what a string is: BYTES, 400 bytes; PASSAGES, 51 words, that is over 50, whatever spaces part them.
+
+Anchors: a string of `gram` symbols is an anchor where its hash is the least of all that start in some length - gram + 1 places in a
+row.  Equal strings of `length` symbols have an equal anchor at the same place, so every repeat shows at a repeated anchor.
 
  1. Anchors of all texts are counted by hash (combined before the shuffle); those that occur twice go on.
- 2. Their texts are joined once; each such anchor gets its context: LENGTH - GRAM bytes before and after it.
+ 2. Their texts are joined once; each such anchor gets its context: length - gram symbols before and after it.
  3. Contexts are dealt by anchor hash into buckets.  A bucket sorts its anchored suffixes (the sparse suffix array), takes
     the common prefix of neighbours, and a stack scan yields the tree of common-prefix intervals.  In an interval of
     common prefix r, members sorted by their reversed left contexts show their left-extension diversity: a member that
-    shares l bytes to the left with another belongs to a maximal repeat of l + r bytes.  Those of LENGTH or more cover it.
+    shares l symbols to the left with another belongs to a maximal repeat of l + r.  Those of `length` or more cover it.
     All occurrences of each are output.
  4. Anchors that occur more than GROUP_MOST times (a passage in a third of all documents, say) are not gathered: their
-    LENGTH-byte windows are hashed, resolved within blocks, and each block passes on one entry a window to the window's
-    bucket, so a bucket gets no more entries of a window than there are blocks.
+    windows of `length` are hashed (64 bits), resolved within blocks, and each block passes on one entry a window to the window's
+    bucket, so a bucket gets no more entries of a window than there are blocks.  Their anchors are marked by a checked
+    broadcast, or by a salted join if they are too many, so that no task gets all places of one.
  5. Covered spans are united by document.
 
-Rows: about two anchors each 200 bytes are counted; contexts are shipped for repeated anchors only.
+Rows: about two anchors each 200 bytes, or 25 words, are counted; contexts are shipped for repeated anchors only.  Symbols of a
+context are compared one by one (words by 32 bits of their hash each), the anchor between by its 64-bit hash.
 
-Edge cases: a null text is empty and keeps nothing; texts shorter than LENGTH keep all; repeated rows repeat each other and
-are removed wholly if long enough; overlapping repeats within one text count; an empty table gives no rows; further
-columns are ignored.  doc_id must be an integer; it needn't be unique.
+Edge cases: a null text is empty and keeps nothing; texts shorter than `length` keep all; repeated rows repeat each other and
+are removed wholly if long enough; overlapping repeats within one text count; a text of any length is held whole by the one
+task that cuts it, and hashed in one piece; an empty table gives no rows; further columns are ignored by the report and kept by
+remove_repeats, whatever their names.  doc_id must be an integer; it needn't be unique.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gristmill.llm._util import cut, ship, spread_join
+from gristmill.llm.textkernel import SALT, U, Words, grams, mix, parts, prefix_hash, slices, span_hash, tidy, utf8
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """What repeats are made of: symbols of `unit` bytes, the least length of a repeat, and the length of an anchor.
+
+    A unit of 1 stands for bytes, one of 4 for words, each as 32 bits of its hash.  unit * (length - gram) is a multiple of 8.
+    """
+
+    length: int
+    gram: int
+    unit: int
+
+    @property
+    def side(self) -> int:
+        return self.length - self.gram
 
-from gristmill.llm._util import cut
-from gristmill.llm.textkernel import SALT, U, mix, parts, prefix_hash, slices, span_hash, tidy, utf8
 
-LENGTH, GRAM = 400, 200
-SIDE = LENGTH - GRAM
-#: A passage of over WORDS words has 51 letters and 50 separators at least: these lengths find all of them.  SIDE is a multiple of 8.
-WORDS, PASSAGE_LENGTH, PASSAGE_GRAM = 50, 101, 45
+BYTES = Scheme(400, 200, 1)
+PASSAGES = Scheme(51, 27, 4)
 #: Occurrences of an anchor that are compared in one task; more go another way.
 GROUP_MOST = 5_000
 #: Contexts of a bucket, and window hashes of a bucket of frequent anchors, about.
@@ -49,50 +70,65 @@ BROADCAST = 400_000
 _LOW32 = U(0xFFFFFFFF)
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place and hash of every anchor."""
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    side = length - gram
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+def _places(h: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place and hash of every anchor; h: hashes of all strings of `gram` symbols, over the texts one after another."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
     ends = np.cumsum(sizes)
-    if len(buf) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
-    at = np.arange(len(buf) - gram + 1)
-    h = span_hash(prefix_hash(buf), at, at + gram)
+    n = int(ends[-1]) - scheme.length + 1 if len(ends) else 0
+    if n <= 0:
+        return none
     # ordered by hash, then the last place first
-    key = (h & ~_LOW32) | (_LOW32 - at.astype(U))
-    w = side + 1
+    key = (h & ~_LOW32) | (_LOW32 - np.arange(len(h)).astype(U))
+    w = scheme.side + 1
     rows = np.full(-(-len(key) // w) * w, ~U(0), U)
     rows[: len(key)] = key
     ahead = np.minimum.accumulate(rows.reshape(-1, w), axis=1).ravel()
     behind = np.minimum.accumulate(rows.reshape(-1, w)[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(buf) - length + 1
     least = np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
     inside = np.zeros(n + 1, np.int8)
-    long = sizes >= length
+    long = sizes >= scheme.length
     np.add.at(inside, (ends - sizes)[long], 1)
-    np.add.at(inside, (ends - length + 1)[long], -1)
+    np.add.at(inside, (ends - scheme.length + 1)[long], -1)
     least = least[np.cumsum(inside[:n]).astype(bool)]
     if not len(least):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+        return none
     place = (_LOW32 - (least[np.append(True, least[1:] != least[:-1])] & _LOW32)).astype(np.int64)
     place = np.unique(place)
     text = np.searchsorted(ends, place, side="right")
     return text, place - (ends - sizes)[text], h[place]
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def anchors(texts: list[bytes], scheme: Scheme = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place and hash of every anchor."""
+    if scheme.unit > 1:
+        words = Words(texts)
+        return _places(grams(words.hashes(), scheme.gram), words.last - words.first, scheme)
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.arange(max(0, len(buf) - scheme.gram + 1))
+    return _places(span_hash(prefix_hash(buf), at, at + scheme.gram), np.fromiter(map(len, texts), np.int64, len(texts)), scheme)
+
+
+def _symbols(texts: list[bytes], scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of all texts, and the first and the last but one of each text."""
+    if scheme.unit > 1:
+        words = Words(texts)
+        return words.hashes().astype(np.uint32), words.first, words.last
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    return np.frombuffer(b"".join(texts), np.uint8), np.append(0, ends[:-1]), ends
+
+
+def _anchored(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches):
         texts = utf8(batch.column("text"))
         for a, b in slices(texts):
-            text, place, h = anchors(texts[a:b], length, gram)
+            text, place, h = anchors(texts[a:b], scheme)
             take = pa.array(text + a)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(place), pa.array(h.view(np.int64))], names=["doc_id", "th", "place", "h"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The bytes before (reversed) and after each repeated anchor."""
-    kinds = {"doc_id": pa.int64(), "th": pa.int64(), "place": pa.int64(), "h": pa.int64(), "frequent": pa.bool_(), "before": pa.binary(), "after": pa.binary()}
+def _contexts(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+    """The symbols before (reversed) and after each repeated anchor."""
+    kinds = {"doc_id": pa.int64(), "th": pa.int64(), "place": pa.int64(), "h": pa.int64(), "before": pa.binary(), "after": pa.binary()}
     rows: dict[str, list] = {c: [] for c in kinds}
 
     def full() -> pa.RecordBatch:
@@ -102,32 +138,38 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
         return out
 
     for batch in parts(batches):
-        for doc, th, value, found in zip(*(batch.column(c) for c in ("doc_id", "th", "text", "found")), strict=True):
-            doc, th, text = doc.as_py(), th.as_py(), value.as_py().encode()
-            for x in {x["place"]: x for x in found.as_py()}.values():  # rows of the same id and text list theirs together
-                p = x["place"]
-                for c, v in zip(kinds, (doc, th, p, x["h"], x["frequent"], text[max(0, p - (length - gram)) : p][::-1], text[p + gram : p + length]), strict=True):
-                    rows[c].append(v)
-            if len(rows["h"]) >= BUCKET:
-                yield full()
+        texts = utf8(batch.column("text"))
+        for a, b in slices(texts):
+            symbols, first, last = _symbols(texts[a:b], scheme)
+            own = batch.slice(a, b - a)
+            for doc, th, found, s, e in zip(own.column("doc_id"), own.column("th"), own.column("found"), first.tolist(), last.tolist(), strict=True):
+                doc, th = doc.as_py(), th.as_py()
+                for p, h in dict(zip(*(x.to_pylist() for x in found.values.flatten()), strict=True)).items():  # rows of the same id and text list theirs together
+                    at = s + p
+                    before, after = symbols[max(s, at - scheme.side) : at][::-1], symbols[at + scheme.gram : min(e, at + scheme.length)]
+                    for c, v in zip(kinds, (doc, th, p, h, before.tobytes(), after.tobytes()), strict=True):
+                        rows[c].append(v)
+                if len(rows["h"]) >= BUCKET:
+                    yield full()
     yield full()
 
 
-def _matrix(column: pa.ChunkedArray, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Byte strings of at most `side` bytes as rows padded with zeros, and their lengths."""
+def _matrix(column: pa.ChunkedArray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of at most `side` symbols as rows of bytes padded with zeros, and their lengths in symbols."""
     raw = column.to_pylist()
-    size = np.fromiter(map(len, raw), np.int64, len(raw))
-    return np.frombuffer(b"".join(x.ljust(side, b"\0") for x in raw), np.uint8).reshape(len(raw), side), size
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // scheme.unit
+    width = scheme.side * scheme.unit
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in raw), np.uint8).reshape(len(raw), width), size
 
 
 def _words(m: np.ndarray) -> np.ndarray:
     return m.view(">u8").astype(U)
 
 
-def _common(m: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of rows i and rows j."""
+def _common(m: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, unit: int) -> np.ndarray:
+    """Symbols that rows i and rows j begin with in common."""
     differ = m[i] != m[j]
-    first = np.where(differ.any(axis=1), differ.argmax(axis=1), m.shape[1])
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), m.shape[1]) // unit
     return np.minimum(first, np.minimum(size[i], size[j]))
 
 
@@ -143,8 +185,8 @@ def intervals(prefix: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((first, r))
 
 
-def maximal_extents(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes before and after (from its start) that each anchor's repeats of `length` bytes or more cover; -1 for none."""
+def maximal_extents(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray], scheme: Scheme = BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols before and after (from its start) that each anchor's repeats of `length` or more cover; -1 for none."""
     n = len(h)
     left, right = np.full(n, -1), np.full(n, -1)
     if n < 2:
@@ -154,14 +196,14 @@ def maximal_extents(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after:
     turn = np.empty(n, np.int64)
     turn[np.lexsort((*_words(b).T[::-1], h))] = np.arange(n)
     i, j = order[:-1], order[1:]
-    prefix = np.where(h[i] == h[j], _common(a, a_size, i, j), -1)
+    prefix = np.where(h[i] == h[j], _common(a, a_size, i, j, scheme.unit), -1)
     twos: list[tuple[int, int, int]] = []
 
     def cover(rows: np.ndarray, shared: np.ndarray, r: np.ndarray | int) -> None:
-        ok = shared + gram + r >= length
+        ok = shared + scheme.gram + r >= scheme.length
         rows, shared, r = rows[ok], shared[ok], np.broadcast_to(r, shared.shape)[ok]
         np.maximum.at(left, rows, shared)
-        np.maximum.at(right, rows, r + gram)
+        np.maximum.at(right, rows, r + scheme.gram)
 
     for first, last, r in intervals(prefix):
         if last == first + 1:
@@ -169,13 +211,13 @@ def maximal_extents(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after:
             continue
         rows = order[first : last + 1]
         rows = rows[np.argsort(turn[rows], kind="stable")]
-        near = _common(b, b_size, rows[:-1], rows[1:])
+        near = _common(b, b_size, rows[:-1], rows[1:], scheme.unit)
         shared = np.maximum(np.append(near, 0), np.append(0, near))
         cover(rows, shared, r)
     if twos:
         first, last, r = np.array(twos).T
         i, j = order[first], order[last]
-        near = _common(b, b_size, i, j)
+        near = _common(b, b_size, i, j, scheme.unit)
         cover(i, near, r)
         cover(j, near, r)
     return left, right
@@ -188,10 +230,10 @@ def _spans(doc: np.ndarray, th: np.ndarray, start: np.ndarray, stop: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, th, start, stop)], names=["doc_id", "th", "start", "stop"])
 
 
-def _bucket(parts: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _bucket(parts: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     held = pa.Table.from_batches(list(parts))
     column = lambda c: held.column(c).to_numpy()
-    left, right = maximal_extents(column("h"), _matrix(held.column("before"), length - gram), _matrix(held.column("after"), length - gram), length, gram)
+    left, right = maximal_extents(column("h"), _matrix(held.column("before"), scheme), _matrix(held.column("after"), scheme), scheme)
     ok = right >= 0
     place = column("place")[ok]
     docs = held.column("doc_id").filter(pa.array(ok))
@@ -199,15 +241,15 @@ def _bucket(parts: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator
     tidy()
 
 
-def window_hashes(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, anchor and bytes before the anchor of each window around the anchors, of as many bytes besides the anchor as contexts have."""
+def window_hashes(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray], scheme: Scheme = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, anchor and symbols before the anchor of each window of `length` around the anchors."""
     (b, b_size), (a, a_size) = before, after
-    side = b.shape[1]
+    side = scheme.side
 
     def ladder(m: np.ndarray) -> np.ndarray:
         power = np.multiply.accumulate(np.full(side, U(0x9E3779B97F4A7C15)))
         out = np.zeros((len(m), side + 1), U)
-        np.cumsum(SALT[m] * power, axis=1, out=out[:, 1:])
+        np.cumsum((SALT[m] if scheme.unit == 1 else mix(m.view(np.uint32).astype(U) + U(1))) * power, axis=1, out=out[:, 1:])
         return out
 
     l = np.arange(side + 1)  # noqa: E741
@@ -217,7 +259,7 @@ def window_hashes(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: t
     return key[ok], who, lead
 
 
-def _frequent(contexts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+def _frequent(contexts: DataFrame, buckets: int, scheme: Scheme) -> DataFrame:
     """Spans of windows that occur twice, for anchors of any number of occurrences."""
     none = np.uint32(0xFFFFFFFF)
 
@@ -227,11 +269,11 @@ def _frequent(contexts: DataFrame, buckets: int, length: int, gram: int) -> Data
                 batch = big.slice(at, 2000)
                 held = pa.Table.from_batches([batch])
                 place, doc, th = (held.column(c).to_numpy() for c in ("place", "doc_id", "th"))
-                key, who, lead = window_hashes(held.column("h").to_numpy(), _matrix(held.column("before"), length - gram), _matrix(held.column("after"), length - gram))
+                key, who, lead = window_hashes(held.column("h").to_numpy(), _matrix(held.column("before"), scheme), _matrix(held.column("after"), scheme), scheme)
                 key, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 again = n[back] > 1
                 start = place[who[again]] - lead[again]
-                own = _merged(doc[who[again]], th[who[again]], start, length)
+                own = _merged(doc[who[again]], th[who[again]], start, scheme.length)
                 owner = np.where(n > 1, none, who[first].astype(np.uint32))
                 of = (key % U(buckets)).astype(np.int64)
                 order = np.argsort(of, kind="stable")
@@ -264,7 +306,7 @@ def _frequent(contexts: DataFrame, buckets: int, length: int, gram: int) -> Data
         doc, th, start = (np.frombuffer(b"".join(got[c]), np.int64) for c in ("docs", "ths", "starts"))
         _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
         hit = (n[back] > 1) & (start >= 0)
-        yield _spans(*_merged(doc[hit], th[hit], start[hit], length))
+        yield _spans(*_merged(doc[hit], th[hit], start[hit], scheme.length))
 
     dealt = contexts.mapInArrow(deal, "bucket long, keys binary, docs binary, ths binary, starts binary, own binary")
     return dealt.groupBy("bucket").applyInArrow(meet, _SPAN)
@@ -294,12 +336,14 @@ def _near(lists: DataFrame, column: str) -> DataFrame:
     return F.broadcast(lists) if rows + (members or 0) <= BROADCAST else lists
 
 
-def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, text) of texts with a repeated anchor, and (doc_id, th, spans) with their covered spans, not yet united."""
+def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST, scheme: Scheme = BYTES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, text) of texts with a repeated anchor, and (doc_id, th, spans) with their covered spans, not yet united, in symbols."""
+    ship(docs.sparkSession)
     keyed = _keyed(docs)
-    found = cut(keyed.where(F.length("text") >= length // 4).mapInArrow(lambda b: _anchored(b, length, gram), "doc_id long, th long, place long, h long"), "anchors")
-    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("again"), (F.col("n") > group_most).alias("frequent"))
-    marked = found.join(counts, F.col("h") == F.col("again")).groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "h", "frequent")).alias("found"))
+    least = scheme.length // 4 if scheme.unit == 1 else 2 * scheme.length - 1  # characters that a text with a repeat has at least
+    found = cut(keyed.where(F.length("text") >= least).mapInArrow(lambda b: _anchored(b, scheme), "doc_id long, th long, place long, h long"), "anchors")
+    counts = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("frequent", F.col("n") > group_most), "counts")
+    marked = spread_join(found, counts, "h", group_most).groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "h", "frequent")).alias("found"))
     # Rows with the same id and text share one list; each such row then has it.
     marked = marked.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "found")
     marked = _near(cut(marked, "marked"), "found")
@@ -307,16 +351,20 @@ def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST, length: int =
     texts = cut(texts.select("doc_id", "th", "text", "found"), "candidates")
     sizes = texts.select(F.size("found").alias("n"), F.expr("size(filter(found, x -> x.frequent))").alias("hot")).agg(F.sum("n"), F.sum("hot")).first()
     total, hot = int(sizes[0] or 0), int(sizes[1] or 0)
-    contexts = texts.mapInArrow(lambda b: _contexts(b, length, gram), "doc_id long, th long, place long, h long, frequent boolean, before binary, after binary")
+
+    def contexts(which: str) -> DataFrame:
+        own = texts.select("doc_id", "th", "text", F.expr(f"transform(filter(found, x -> {which}), x -> struct(x.place, x.h))").alias("found"))
+        return own.where(F.size("found") > 0).mapInArrow(lambda b: _contexts(b, scheme), "doc_id long, th long, place long, h long, before binary, after binary")
+
     buckets = max(12, total // BUCKET + 1)
-    dealt = contexts.where("not frequent").withColumn("bucket", F.expr(f"pmod(xxhash64(h), {buckets})"))
+    dealt = contexts("not x.frequent").withColumn("bucket", F.expr(f"pmod(xxhash64(h), {buckets})"))
 
     def bucket(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _bucket(parts, length, gram)
+        yield from _bucket(parts, scheme)
 
     spans = dealt.groupBy("bucket").applyInArrow(bucket, _SPAN)
     if hot:
-        spans = spans.unionAll(_frequent(contexts.where("frequent"), max(12, hot * (length - gram + 1) // HOT_BUCKET + 1), length, gram))
+        spans = spans.unionAll(_frequent(contexts("x.frequent"), max(12, hot * (scheme.side + 1) // HOT_BUCKET + 1), scheme))
     spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     return texts.select("doc_id", "th", "text"), _near(spans, "spans")
 
@@ -332,19 +380,30 @@ def united(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def passages(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Those runs that have over WORDS words or LENGTH bytes."""
-    return [(a, b) for a, b in runs if b - a >= LENGTH or len(re.findall(r"[^\W_]+", text[a:b].decode(errors="ignore"))) > WORDS]
-
-
 def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for run in runs for x in run), len(text)]
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+def _passages(spans: DataFrame) -> DataFrame:
+    """d, t, n_passages, n_passage_words of spans in words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [united(own) for own in batch.column("spans").to_pylist()]
+            n, words = [len(r) for r in runs], [sum(b - a for a, b in r) for r in runs]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(words, pa.int64())], names=["d", "t", "n_passages", "n_passage_words"])
+
+    return spans.select("doc_id", "th", "spans").mapInArrow(run, "d long, t long, n_passages long, n_passage_words long")
+
+
 def report(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row by BYTES; n_passages and n_passage_words by PASSAGES.
+
+    n_passages: maximal runs of words covered by passages of over 50 words that also occur elsewhere.
+    """
     texts, spans = repeated_spans(docs, group_most)
+    _, worded = repeated_spans(docs, group_most, PASSAGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -360,37 +419,48 @@ def report(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     hit = texts.join(s, texts["doc_id"].eqNullSafe(s["d"]) & (texts["th"] == s["t"])).select("d", "t", "text", "spans")
     cuts = hit.mapInArrow(run, "d long, t long, removed long, count long, digest string").dropDuplicates(["d", "t"])
     base = _keyed(docs).select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    out = base.join(cuts, base["doc_id"].eqNullSafe(cuts["d"]) & (base["th"] == cuts["t"]), "left")
+    out = base.join(cuts, base["doc_id"].eqNullSafe(cuts["d"]) & (base["th"] == cuts["t"]), "left").drop("d", "t")
+    found = _passages(worded)
+    out = out.join(found, out["doc_id"].eqNullSafe(found["d"]) & (out["th"] == found["t"]), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    return out.select("doc_id", "n_bytes", zero("removed").alias("n_removed"), zero("count").alias("n_spans"), F.coalesce("digest", "whole").alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", zero("removed").alias("n_removed"), zero("count").alias("n_spans"), F.coalesce("digest", "whole").alias("kept_sha256"), zero("n_passages").alias("n_passages"), zero("n_passage_words").alias("n_passage_words"))
 
 
-def _left(text: bytes, spans: list[dict], length: int) -> str:
+def _left(text: bytes, spans: list[dict], scheme: Scheme) -> str:
+    """What stays of a text; a character that is cut in part goes wholly."""
     runs = united(spans)
-    return without(text, runs if length >= LENGTH else passages(text, runs)).decode(errors="ignore")
-
-
-def remove_repeats(docs: DataFrame, group_most: int = GROUP_MOST, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with their repeats removed from text and n_chars brought up to date; documents left without any text go.
-
-    A character that is cut in part goes wholly.  Columns stay as they are otherwise.
-    With a length under LENGTH, runs of repeats go only if they have over WORDS words or LENGTH bytes.
+    if scheme.unit > 1:
+        words = Words([text])
+        return without(text, [(int(words.start[a]), int(words.end[b - 1])) for a, b in runs]).decode()
+    whole = []
+    for a, b in runs:
+        while a and text[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+        whole.append({"start": a, "stop": b})
+    return without(text, united(whole)).decode()
+
+
+def remove_repeats(docs: DataFrame, group_most: int = GROUP_MOST, scheme: Scheme = BYTES) -> DataFrame:
+    """docs without their repeats, of which no occurrence stays; documents that lose all but spaces go.
+
+    n_chars, if there, is brought up to date in rows whose text changes; all else stays as it is, null and empty texts included.
     """
-    _, spans = repeated_spans(docs, group_most, length, gram)
-    s = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("spans").alias("_spans"))
-    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn("_th", F.xxhash64(whole)).join(s, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+    _, spans = repeated_spans(docs, group_most, scheme)
+    s = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "spans")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
+    joined = rows.join(s, F.col("id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            text = batch.schema.get_field_index("text")
-            kept = [x.as_py() if own is None else _left(x.as_py().encode(), own, length) for x, own in zip(batch.column(text), batch.column("_spans").to_pylist(), strict=True)]
-            columns = [pa.array(kept, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("_spans",)]
-            names = [f.name for f in batch.schema if f.name != "_spans"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    ready = joined.select(*docs.columns, "_spans")
-    out = ready.mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.where("text is null or text <> ''") if docs.columns else out
+            pairs = zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True)
+            left = [None if own is None else _left(x.as_py().encode(), own, scheme) for x, own in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(left, pa.string())], names=["row", "left"])
+
+    out = joined.mapInArrow(run, T.StructType([T.StructField("row", docs.schema), T.StructField("left", T.StringType())]))
+    out = out.where(F.col("left").isNull() | (F.trim(F.translate("left", "\t\n\x0b\x0c\r", "     ")) != ""))
+    new = {"text": F.col("left"), "n_chars": F.length("left")}
+    fresh = lambda f: F.when(F.col("left").isNotNull(), new[f.name].cast(f.dataType)).otherwise(F.col(f"row.`{f.name}`"))
+    return out.select(*((fresh(f) if f.name in new else F.col(f"row.`{f.name}`")).alias(f.name) for f in docs.schema))

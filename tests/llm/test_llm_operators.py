@@ -227,7 +227,7 @@ def test_repeats(docs, rows, group_most):
     for r, b, gone in zip(rows, texts, brute_spans(texts), strict=True):
         kept = bytes(c for c, x in zip(b, gone, strict=True) if not x)
         want[(r[0], len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest())] += 1
-    got = collections.Counter(tuple(r) for r in repeats.report(docs.where("length(coalesce(text, '')) < 60000"), group_most).collect())
+    got = collections.Counter(tuple(r)[:5] for r in repeats.report(docs.where("length(coalesce(text, '')) < 60000"), group_most).collect())
     assert got == want and sum(k[2] for k in want) > 0
 
 

@@ -23,7 +23,7 @@ def test_pipeline_removes_passages_of_51_words(spark, longest):
 
     rng = random.Random(5)
     passage, short = words(rng, 51, longest), words(rng, 40, 4)
-    assert len(passage) < repeats.LENGTH
+    assert len(passage) < repeats.BYTES.length
     texts = [f"{words(rng, 80)} {x} {words(rng, 80)}" for x in (passage, passage, short, short)]
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
     left = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
@@ -35,7 +35,7 @@ def test_pipeline_removes_frequent_passages_of_51_words(spark):
     rng = random.Random(6)
     passage = words(rng, 51, 4)
     docs = spark.createDataFrame([(i, f"{words(rng, 30)} {passage} {words(rng, 30)}") for i in range(12)], DOCS)
-    left = repeats.remove_repeats(docs, 4, repeats.PASSAGE_LENGTH, repeats.PASSAGE_GRAM).collect()
+    left = repeats.remove_repeats(docs, 4, repeats.PASSAGES).collect()
     assert len(left) == 12 and not any(passage in r.text for r in left)
 
 
@@ -60,3 +60,68 @@ def test_reputation_levels_of_long_suffixes_and_addresses(spark):
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
     _, domain, suffix = reputation._levels(F.col("host"))
     assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
+
+
+@pytest.mark.parametrize("group_most", [5000, 2])
+def test_passages_against_brute_force(spark, group_most):
+    rng = random.Random(3)
+    passages = [words(rng, n).split() for n in (50, 51, 52, 80)]
+    texts = [words(rng, 30).split() + passages[i % 4] + words(rng, 20).split() + (passages[3] if i % 5 == 0 else []) for i in range(24)] + [[], ["a"] * 60, ["b"] * 51]
+    rows = [(i, rng.choice([" ", "\n", "  \t"]).join(t)) for i, t in enumerate(texts)] + [(90, None), (91, rng.choice("é😀") * 700), (3, " ".join(texts[0]))]
+    lists = [(t or "").split() for _, t in rows]
+    seen = {}
+    for k, t in enumerate(lists):
+        for i in range(len(t) - 50):
+            seen.setdefault(tuple(t[i : i + 51]), []).append((k, i))
+    gone = [[False] * len(t) for t in lists]
+    for places in seen.values():
+        if len(places) > 1:
+            for k, i in places:
+                gone[k][i : i + 51] = [True] * 51
+    want = sorted((d, sum(x and not y for x, y in zip(g, [False, *g], strict=False)), sum(g)) for (d, _), g in zip(rows, gone, strict=True))
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted((r.doc_id, r.n_passages, r.n_passage_words) for r in repeats.report(df, group_most).collect()) == want
+    left = sorted((r.doc_id, (r.text or "").split()) for r in repeats.remove_repeats(df, group_most, repeats.PASSAGES).collect())
+    assert left == sorted((d, [w for w, x in zip(t, g, strict=True) if not x]) for (d, _), t, g in zip(rows, lists, gone, strict=True) if not t or not all(g))
+
+
+def test_removal_invents_no_characters(spark):
+    rng = random.Random(4)
+    shared = "\u0129"[0].encode()[1:] + words(rng, 200)[:398].encode() + "ã".encode()[:1]
+    texts = [("C".encode() + b"\xc4" + shared + b"\xa3" + "D".encode()).decode(), (words(rng, 9).encode() + b"\xc5" + shared + b"\xa9x").decode()]
+    left = {r.doc_id: r.text for r in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert left[0] == "CD"
+
+
+def test_clashing_names_in_stages(spark):
+    from gristmill.llm import mixing, quality
+
+    rng = random.Random(9)
+    rows = [(i, words(rng, 120), "en", "a") for i in range(30)]
+    rows += [(40 + i, rows[i][1], "en", "a") for i in range(5)]
+    names = ("_d", "_t", "d", "t", "id", "_th", "th", "_spans", "spans", "_gone", "_gone_th", "_copies", "copies", "label", "left", "row", "n", "salt_", "x0", "g", "level")
+    df = spark.createDataFrame(rows, f"{DOCS}, lang string, source string").withColumns({c: F.lit(7) for c in names})
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    for f in (repeats.remove_repeats, jaccard.one_each, quality.filter_documents, lambda x: mixing.mix(x, labels)):
+        out = f(df)
+        assert out.columns == df.columns and out.dtypes == df.dtypes
+        got = out.collect()
+        assert got and all(r[c] == 7 for r in got for c in names)
+        assert f(df.limit(0)).columns == df.columns and f(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("keys", [200_000, 0])
+def test_spread_join(spark, tmp_path, keys):
+    from gristmill.llm._util import spread_join
+
+    left = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(200)], "k long, x long")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("m"))
+    got = sorted(tuple(r) for r in spread_join(left, right, "k", 20, keys).select("k", "x", "m").collect())
+    assert got == sorted(tuple(r) for r in left.join(right, "k").select("k", "x", "m").collect())
+
+
+def test_components_of_a_long_path(spark):
+    from gristmill.llm.components import components
+
+    n = 3000
+    assert {r.u: r.v for r in components(spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")).collect()} == {i: 0 for i in range(1, n + 1)}
