@@ -25,8 +25,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of over 50 words or of 400 bytes that occur elsewhere."""
-    return repeats.remove_repeats(docs, length=repeats.PASSAGE_LENGTH, gram=repeats.PASSAGE_GRAM)
+    """Texts without the passages of over 50 words that occur elsewhere."""
+    return repeats.remove_repeats(docs, scheme=repeats.PASSAGES)
 
 
 @stage
