@@ -4,18 +4,21 @@
     centroid's spread, so that a dense group of near copies is told apart as finely as scattered rows.
     Codes minimise |e|^2 + (eta - 1) (e . x/|x|)^2: error parallel to the vector, which moves large inner products, costs more.
     eta = (dim - 1) T^2 / (1 - T^2) for inner products from T on, the cosine of a centroid with its rows.
- 2. Every row is indexed: a centroid and one four-bit code for each PAIR-wide slice, two codes a byte.
- 3. Queries and rows are dealt into blocks; each cell (query block, row block) scans codes through tables of 256 partial
-    scores a byte, takes the RERANK best for each query, and reranks them exactly on the original vectors in double precision.
- 4. The cells' best are merged by query.
+ 2. Every row is indexed: a centroid and one four-bit code for each PAIR-wide slice, two codes a byte.  Rows of a centroid form blocks
+    of ROW_BLOCK, so a centroid may hold any share of the rows.
+ 3. A query goes to the blocks of the PROBES centroids that promise the largest inner products, and of more while these hold under
+    LEAST rows.  A cell (block, query part) scans codes through tables of 256 partial scores a byte and keeps the RERANK best
+    of each query, by approximate score.
+ 4. The RERANK best of each query over all its cells are joined with the original vectors and ranked exactly in double precision.
 
-The query set is a fixed share of the rows, so scores grow with queries times rows, at 16 table reads each; memory is one cell's.
-A row meets all queries, whichever group it is in: no bin is capped and none is skipped.
+Only ids, codes and the queries' vectors are shuffled, once for each probe, and the original vectors once for reranking: bytes grow
+with the rows, but for one more copy of the codes for every QUERY_BLOCK queries.  Scores grow with queries times rows in the
+probed cells, at one table read for each byte of code.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or have not the most common length, and rows
 with a null id take no part; equal scores go to the smaller id; rows of the query's own id are no candidates; repeated
 ids count as repeated candidates, but as one query, of the least vector; an empty table gives no rows; further columns are
-ignored.
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,17 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._util import cut
+from gristmill.llm._util import cut, ship
 
 SAMPLE = 8_000
 CENTROIDS = 192
-PAIR = 2
+PAIR = 1
 CODES = 16
 #: Least and most weight of parallel error.
 ETA = (4.0, 1e4)
 SWEEPS, ROUNDS = 2, 6
 RERANK = 64
-QUERY_BLOCK, ROW_BLOCK = 4_096, 8_192
+#: Deviations of a centroid's rows, along a query, that count toward its promise.
+REACH = 2.5
+PROBES, LEAST = 144, 1_024
+QUERY_BLOCK, ROW_BLOCK = 65_536, 131_072
+#: Scores that a cell holds at once.
+SCORES = 1 << 21
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -135,26 +143,25 @@ class Quantiser:
         return out
 
 
+    def promising(self, queries: np.ndarray) -> np.ndarray:
+        """Centroids for each unit query, those first whose rows may have the largest inner products."""
+        q = self._padded(queries)
+        reach = q @ self.centres.T + REACH * self.spread / np.sqrt(self.dim)
+        return np.argsort(-reach, axis=1, kind="stable")
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     held = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return held.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
 
 
-def exact_best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, approximate: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its id, and ids and cosines of the best k of the RERANK rows nearest by approximate scores."""
-    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    for q, own, near in zip(queries, query_ids, approximate, strict=True):
-        near = np.where(ids == own, -np.inf, near)
-        m = min(RERANK, len(near))
-        edge = np.partition(near, len(near) - m)[len(near) - m]
-        rows = np.flatnonzero(near >= edge)
-        if len(rows) > m:  # equal scores at the edge: the smaller ids
-            rows = rows[np.lexsort((ids[rows], -near[rows]))[:m]]
-        rows = rows[ids[rows] != own]
-        v = vectors[rows]
-        score = np.einsum("ij,j->i", v, q) / (norms[rows] * np.sqrt(np.einsum("i,i->", q, q)))
-        best = np.lexsort((ids[rows], -score))[:k]
-        yield int(own), ids[rows[best]], score[best]
+def best_rows(near: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
+    """The m rows of largest score; ids ascend, and equal scores at the edge go to the smaller ones."""
+    if len(near) > m:
+        rows = np.flatnonzero(near >= np.partition(near, len(near) - m)[len(near) - m])
+    else:
+        rows = np.arange(len(near))
+    return rows[np.argsort(-near[rows], kind="stable")[:m]]
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -165,50 +172,91 @@ def valid(rows: DataFrame) -> DataFrame:
     return x.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)))
 
 
-def search(rows: DataFrame, every: int = 50, k: int = 5, sample: int = SAMPLE) -> DataFrame:
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            v, q = _vectors(batch.column("embedding")), _vectors(batch.column("asked"))
+            dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+            score = dot(v, q) / (np.sqrt(dot(v, v)) * np.sqrt(dot(q, q)))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def search(rows: DataFrame, every: int = 50, k: int = 5, sample: int = SAMPLE, probes: int = PROBES, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found of each row whose vec_id is divisible by `every`."""
     spark = rows.sparkSession
-    out = "query_id long, vec_id long, score double"
+    ship(spark)
     good = valid(rows).withColumn("dim", F.size("embedding"))
-    sizes = {r.dim: r.n for r in good.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()}
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sizes = good.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not sizes:
-        return empty
-    dim, n = next(iter(sizes.items()))
-    good = good.where(F.col("dim") == dim).drop("dim")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    good = good.where(F.col("dim") == sizes[0].dim).drop("dim")
     picked = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()  # sample rows at most
     x = np.array([r.embedding for r in picked])
     model = spark.sparkContext.broadcast(Quantiser(x / np.linalg.norm(x, axis=1)[:, None]))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in batches:
             if batch.num_rows:
                 at, codes = model.value.encode(_vectors(batch.column("embedding")))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "embedding", "centre", "code"])
-
-    indexed = cut(good.mapInArrow(index, "vec_id long, embedding array<double>, centre int, code binary"), "index")
-    queries = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    query_blocks, row_blocks = -(-max(1, n // every) // QUERY_BLOCK), -(-n // ROW_BLOCK)
-    of = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    left = indexed.select(of("vec_id", row_blocks).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), "vec_id", "embedding", "centre", "code")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("r"), of("vec_id", query_blocks).alias("q"), "vec_id", "embedding", F.lit(None).cast("int").alias("centre"), F.lit(None).cast("binary").alias("code"))
-
-    def scan(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(parts)).combine_chunks()
-        is_query = held.column("code").is_null()
-        asked, there = held.filter(is_query), held.filter(pa.array(~is_query.to_numpy()))
-        if not asked.num_rows or not there.num_rows:
+                turns = np.arange(turn, turn + batch.num_rows)
+                turn += batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(at, pa.int32()), pa.array(turns), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "centre", "turn", "code"])
+
+    indexed = cut(good.mapInArrow(index, "id long, centre int, turn long, code binary"), "index")
+    queries = cut(good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("asked")).withColumnRenamed("vec_id", "query_id"), "queries")
+    held = np.zeros(len(model.value.centres), np.int64)
+    for r in indexed.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a centroid
+        held[r.centre] = r.n
+    blocks = -(-held // row_block)
+    base = np.cumsum(blocks) - blocks
+    parts = -(-queries.count() // query_block) or 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q = _vectors(batch.column("asked"))
+                q = q / np.linalg.norm(q, axis=1)[:, None]
+                order = model.value.promising(q)
+                before = np.cumsum(held[order], axis=1) - held[order]
+                who, turn = np.nonzero((np.arange(order.shape[1]) < probes) | (before < LEAST))
+                centre = order[who, turn]
+                each = blocks[centre]
+                who, centre = np.repeat(who, each), np.repeat(centre, each)
+                block = base[centre] + np.arange(len(who)) - np.repeat(np.cumsum(each) - each, each)
+                raw = pa.array([v.tobytes() for v in q.astype(np.float32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(block), batch.column("query_id").take(pa.array(who)), raw.take(pa.array(who))], names=["block", "id", "asked"])
+
+    asked = queries.mapInArrow(ask, "block long, id long, asked binary").select("block", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "id", F.lit(None).cast("int").alias("centre"), F.lit(None).cast("binary").alias("code"), "asked")
+    listed = lambda v: F.array(*map(F.lit, v.tolist()))[F.col("centre")]
+    block = listed(base) + F.pmod(F.xxhash64("turn", "id"), listed(np.maximum(blocks, 1)))
+    there = indexed.select(block.cast("long").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "id", "centre", "code", F.lit(None).cast("binary").alias("asked"))
+
+    def scan(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.Table.from_batches(list(batches)).combine_chunks()
+        is_query = cell.column("code").is_null().to_numpy()
+        mine, here = cell.filter(pa.array(is_query)), cell.filter(pa.array(~is_query))
+        if not mine.num_rows or not here.num_rows:
             return
-        q, q_ids = _vectors(asked.column("embedding")), asked.column("vec_id").to_numpy()
-        v, ids = _vectors(there.column("embedding")), there.column("vec_id").to_numpy()
-        codes = np.frombuffer(b"".join(there.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        at = there.column("centre").to_numpy()
-        unit = q / np.linalg.norm(q, axis=1)[:, None]
-        for a in range(0, len(q), 256):
-            near = model.value.scores(unit[a : a + 256], at, codes)
-            found = list(exact_best(q[a : a + 256], q_ids[a : a + 256], v, ids, near, k))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["query_id", "vec_id", "score"])
-
-    found = left.unionAll(right).groupBy("r", "q").applyInArrow(scan, out)
+        here = here.sort_by("id")
+        ids, at = here.column("id").to_numpy(), here.column("centre").to_numpy()
+        codes = np.frombuffer(b"".join(here.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        q_ids = mine.column("id").to_numpy()
+        q = np.frombuffer(b"".join(mine.column("asked").to_pylist()), np.float32).reshape(len(q_ids), -1)
+        step = max(1, min(512, SCORES // len(ids)))
+        for a in range(0, len(q), step):
+            near = model.value.scores(q[a : a + step], at, codes)
+            near[ids == q_ids[a : a + step, None]] = -np.inf
+            found = [best_rows(x, ids, RERANK) for x in near]
+            found = [r[np.isfinite(x[r])] for r, x in zip(found, near, strict=True)]
+            rows = np.concatenate(found)
+            who = np.repeat(np.arange(len(found)), [len(r) for r in found])
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[a + who]), pa.array(ids[rows]), pa.array(near[who, rows], pa.float32())], names=["query_id", "id", "near"])
+
+    found = there.unionAll(asked).groupBy("block", "part").applyInArrow(scan, "query_id long, id long, near float")
+    first = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
+    pairs = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= RERANK).select("query_id", "id").distinct()
+    paired = cut(pairs, "pairs").join(good, F.col("id") == F.col("vec_id")).join(queries, "query_id").select("query_id", "vec_id", "embedding", "asked")
+    exact = paired.mapInArrow(_exact, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,84 @@ def test_components_of_a_long_path(spark):
 
     n = 3000
     assert {r.u: r.v for r in components(spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")).collect()} == {i: 0 for i in range(1, n + 1)}
+
+
+def test_neighbours_of_repeated_ids_and_small_cells(spark):
+    from gristmill.llm import neighbours
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 16))
+    x[50:200] = x[50]
+    ids = [*range(390), 0, 7, 7, 50, 50, 399, 398, 397, 396, 395]
+    df = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "block", "part", "asked", "turn", "centre", "code")})
+    want = {}
+    for q in {i for i in ids if i % 50 == 0}:
+        own = min(list(v) for i, v in zip(ids, x, strict=True) if i == q)
+        score = [(-round(float(v @ own / np.sqrt(v @ v) / np.sqrt(np.dot(own, own))), 12), i) for i, v in zip(ids, x, strict=True) if i != q]
+        want[q] = sorted(score)[:5]
+    for options in ({}, {"probes": 192, "row_block": 20, "query_block": 3}):
+        got = {}
+        for r in sorted(neighbours.search(df, **options).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((-round(r.score, 12), r.vec_id))
+        assert set(got) == set(want) and sum(a == b for q in want for a, b in zip(got[q], want[q], strict=True)) >= 0.95 * 5 * len(want)
+        assert got[50] == want[50]
+
+
+def test_minimum_covariance_against_numpy(spark):
+    from gristmill.llm import quality
+
+    rng = np.random.default_rng(5)
+    mixed = rng.normal(size=(7, 7)) * 0.3
+    groups = {"a": rng.normal(size=(300, 7)) @ mixed + 1, "b": rng.normal(size=(200, 7)), "c": np.round(rng.normal(size=(60, 7))), "one": rng.normal(size=(1, 7))}
+    groups["a"][:50] += 6
+    groups["b"][:, 3] = 0
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"x{i} double" for i in range(7)))
+    got = {r.g: r for r in quality.minimum_covariance(df).collect()}
+    floor, least = np.array(quality.FLOOR), quality.GUARD * np.array(quality.FLOOR)
+
+    def step(x, mean, cov):
+        d = np.square((x - mean) @ np.linalg.inv(np.linalg.cholesky(cov + np.diag(least**2))).T).sum(1)
+        bins = np.floor(np.log2(d + 1e-9) * quality.BINS_PER_OCTAVE)
+        near = x[[(bins < b).sum() < quality.ALPHA * len(x) for b in bins]]
+        return near.mean(0), np.cov(near.T, bias=True).reshape(7, 7)
+
+    det = lambda cov: np.linalg.slogdet(cov + np.diag(least**2))[1]
+    for g, x in groups.items():
+        q = np.sort(x, axis=0)[[int(np.ceil(s * len(x))) - 1 for s in (0.25, 0.5, 0.75)]]
+        scale = np.where(q[2] > q[0], (q[2] - q[0]) / 1.349, floor)
+        z = (x - q[1]) / scale
+        size = np.sqrt(np.square(z).sum(1, keepdims=True))
+        u = z / np.where(size > 0, size, 1)
+        begin = [np.eye(7)]
+        for cov in (np.cov(np.tanh(z).T, bias=True).reshape(7, 7), u.T @ u / len(u)):
+            s = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+            begin.append(cov / np.outer(s, s))
+        found = []
+        for k, cov in enumerate(begin):
+            mean, cov = q[1], cov * np.outer(scale, scale)
+            for _ in range(quality.FIRST):
+                mean, cov = step(x, mean, cov)
+            found.append((det(cov), k, mean, cov))
+        low, k, mean, cov = min(found, key=lambda f: f[:2])
+        for _ in range(quality.STEPS):
+            m, c = step(x, mean, cov)
+            before, low = low, min(low, det(c))
+            mean, cov = (m, c) if det(c) < before else (mean, cov)
+            if not det(c) < before:
+                break
+        own = quality._square(np.array([got[g][f"c{i}_{j}"] for i, j in quality._PAIRS]))
+        assert abs(got[g].logdet - low) < 0.05, g
+        if abs(got[g].logdet - low) < 1e-9:
+            assert np.allclose([got[g][f"m{i}"] for i in range(7)], mean) and np.allclose(own, cov, atol=1e-9), g
+    assert abs(got["a"].m0 - groups["a"][50:].mean(0)[0]) < 0.2  # the planted group doesn't count
+
+
+def test_quality_estimates_are_pooled():
+    from gristmill.llm import quality
+
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(50, 7)) + 1, rng.normal(size=(quality.PRIOR, 7))
+    both = np.vstack([x, y])
+    mean, cov = quality.pooled(50, x.mean(0), np.cov(x.T, bias=True), y.mean(0), np.cov(y.T, bias=True))
+    assert np.allclose(mean, both.mean(0)) and np.allclose(cov, np.cov(both.T, bias=True))
