@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm._util import ship
+
 BEGIN, ROLE, TEXT, END = b"<s>", b"[INST]", b"[/INST]", b"</s>"
 #: Strings that no role or text may hold unescaped.
 CONTROLS = (b"<s>", b"</s>", b"[INST]", b"[/INST]", b"<<SYS>>", b"<</SYS>>")
@@ -128,6 +130,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_start, loss_stop (byte spans of the loss mask in formatted) of every conversation."""
+    ship(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
     rows = turns.select("conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -8,7 +8,7 @@ DataFrame functions only: the texts are scanned once, digests are made where the
 of fixed size, are broadcast.  Only lines with a word that every known notice holds are exploded.
 
 Edge cases: a null or empty text, or one of copyright lines alone, has a null digest and no licence; repeated rows get equal
-results; an empty table gives no rows; further columns are ignored.
+results; a text of any length is read whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,6 +78,22 @@ NOTICES = {
     "GPL-2.0-only": ("This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2."),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.",), "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.",),
 }
+# Canonical digests of further public licences' entire texts, as their publishers have them; for the GPL family also
+# those that end with, and before, the line END OF TERMS AND CONDITIONS.
+DIGESTS = {
+    "GPL-1.0": ("9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    "GPL-2.0": ("b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017"),
+    "GPL-3.0": ("59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349", "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975", "f37d587507fc579524cb06d1130d5899891a978ee008cfc033b3b4d95da28bee"),
+    "LGPL-2.0": ("b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c", "e0de5033b5ad2a24c0a1a8b04f09e33038ffa62d2bef7178de2a3c6f5d56f499"),
+    "LGPL-2.1": ("294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c", "9bf9c99aeafbdbccd7456a00d574699e3deb41868375496cacbf170be719bebd"),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",),
+    "MPL-2.0": ("95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GFDL-1.2": ("37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f",),
+    "GFDL-1.3": ("7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4",),
+    "Artistic-1.0-Perl": ("93aa47d57763801ed6e6a6591d4d4049a2c46794df90838023ceade56b569da0",),
+}
 #: Every notice holds one of these in lower case.
 NOTICE_WORDS = r"licen[cs]|released under"
 
@@ -99,9 +115,10 @@ def canonical(text: Column) -> Column:
     return F.trim(x)
 
 
-def known(spark: SparkSession, texts: dict[str, tuple[str, ...]]) -> DataFrame:
+def known(spark: SparkSession, texts: dict[str, tuple[str, ...]], digests: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(known, name): digests of known texts; of fixed size."""
-    rows = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, variants in sorted(texts.items()) for t in variants}
+    rows = {d: name for name, own in (digests or {}).items() for d in own}
+    rows |= {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, variants in sorted(texts.items()) for t in variants}
     return spark.createDataFrame(sorted(rows.items()), "known string, name string")
 
 
@@ -121,5 +138,5 @@ def scan(docs: DataFrame, licences: dict[str, tuple[str, ...]] | None = None, no
     table = F.create_map(*(F.lit(x) for r in known(spark, notices or NOTICES).collect() for x in (r.known, r.name)))  # fixed size
     found = F.filter(F.transform(lines, lambda d: F.try_element_at(table, d)), lambda x: x.isNotNull())
     rows = docs.select("doc_id", digest.alias("digest"), found.alias("found"))
-    out = rows.join(F.broadcast(known(spark, both)), F.col("digest") == F.col("known"), "left")
+    out = rows.join(F.broadcast(known(spark, both, None if licences else DIGESTS)), F.col("digest") == F.col("known"), "left")
     return out.select("doc_id", "digest", F.col("name").alias("licence"), F.size("found").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"))

@@ -21,6 +21,7 @@ empty table gives no rows; further columns are kept, whatever their names.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,6 +152,8 @@ def fit_rates(stats: DataFrame, p: list[Column], targets: dict[str, float]) -> l
         if size < TOLERANCE or before is not None and max(abs(a - b) for a, b in zip(residual, before, strict=True)) < TOLERANCE / 10:
             break
         before = residual
+    else:
+        warnings.warn(f"mixing: residuals {residual} (shares of all tokens) still change after {STEPS} steps", stacklevel=2)
     return history
 
 

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from gristmill.llm._util import ship
+
 WINDOW = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
@@ -184,6 +186,7 @@ def _packer(id_type: pa.DataType, with_ids: bool, run_tokens: int) -> Callable[[
 
 def pack_documents(docs: DataFrame, with_ids: bool = False, run_tokens: int = RUN_TOKENS) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids if asked for."""
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
     if with_ids:

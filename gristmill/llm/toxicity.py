@@ -6,17 +6,19 @@ of its length without repeats.  Case, punctuation within words, spaces between s
 
 Training, on the labelled rows that aren't held out:
  1. Seeds: words of toxic documents by log-odds, counted by distinct preceding words, so that copies of one text count once.
- 2. Sentences: of toxic documents those with a seed, of others any; each at most SENTENCES, those of least hash.
+ 2. Sentences: of toxic documents those with a seed, of others any; each at most SENTENCES, those of least hash.  Labels are
+    of documents, most of whose sentences are clean, so a sentence without a seed tells nothing; insults must be single words.
  3. Landmarks: seeds, and the words of clean sentences nearest to them and most frequent.  Words map to their Nystroem features.
  4. A squared-hinge linear machine on these features, by Newton steps; a toxic sentence counts by its highest word, which
-    is chosen anew in each of PASSES passes, a clean one by all its words.
+    is chosen anew in each of PASSES passes, a clean one by all its words, of which the CLEAN_WORDS commonest count.
 The machine is linear in the subsequences, so its landmarks fold into one weight a subsequence.  A text is scored whole, by
 the highest of its words; a logistic curve over the training rows' scores turns that into a probability.
 
 Scores: one pass over the texts, nothing shuffled but the training sentences, which are bounded, and a histogram.
 
 Edge cases: a null or empty text, or one without words of three letters, has the lowest score; without labels of either kind
-every score is the share of toxic training rows, or 0; labels that are null or of unknown documents count for nothing; repeated
+every score is the share of toxic training rows, or 0; texts of over PIECE characters are scored piece by piece, cut at a space if
+one comes within PIECE characters; labels that are null or of unknown documents count for nothing; repeated
 rows get equal scores; an empty table gives no rows; further columns are ignored.
 """
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._util import cut
+from gristmill.llm._util import cut, ship
 from gristmill.llm.textkernel import parts
 
 DECAY, SPAN = 0.75, 6
@@ -48,7 +50,10 @@ HARD, HARD_COST = 3_000, 10.0
 THRESHOLD = 0.3
 #: Characters of a text that are scored at once; longer texts go piece by piece.
 PIECE = 1 << 20
+#: Steps of 1/50 in the histogram that the logistic curve is fitted to; the last one holds all scores from there on.
 BINS = 400
+#: Commonest words of the clean sentences that a machine learns from, besides the hard ones.
+CLEAN_WORDS = 60_000
 
 _CLASSES = 64
 # Look-alikes of letters.
@@ -139,22 +144,36 @@ def word_scores(text: str, weights: np.ndarray) -> float:
     return best
 
 
+def entries(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word number, subsequence and weight of every occurrence in words without spaces, by word; weights are over the word's norm."""
+    c, word = fold("\n\n".join(words))  # two spaces, so that single letters stay words of their own
+    word = word // 2
+    found = [np.zeros((2, 0), np.int64)]
+    weight = [np.zeros(0, np.float32)]
+    for at, ids, w in subsequences(c, word):
+        found.append(np.stack([word[at], ids]).astype(np.int64))
+        weight.append(np.full(len(at), w, np.float32))
+    row, ids = np.concatenate(found, axis=1)
+    order = np.argsort(row, kind="stable")
+    norm = NORMS[np.minimum(np.bincount(word, minlength=len(words)), len(NORMS) - 1)]
+    return row[order], ids[order], (np.concatenate(weight)[order] / norm[row[order]]).astype(np.float32)
+
+
 def word_vector(word: str) -> dict[int, float]:
-    c, w = fold(word)
     out: dict[int, float] = {}
-    for _, ids, weight in subsequences(c, w):
-        for i in ids.tolist():
-            out[i] = out.get(i, 0.0) + weight
-    norm = NORMS[min(len(c), len(NORMS) - 1)]
-    return {i: x / norm for i, x in out.items()}
-
-
-def _matrix(words: list[str], index: dict[int, int]) -> np.ndarray:
-    out = np.zeros((len(words), len(index)), np.float32)
-    for r, w in enumerate(words):
-        for i, x in word_vector(w).items():
-            if i in index:
-                out[r, index[i]] = x
+    for _, i, x in zip(*(v.tolist() for v in entries([word])), strict=True):
+        out[i] = out.get(i, 0.0) + x
+    return out
+
+
+def projected(words: list[str], onto: np.ndarray) -> np.ndarray:
+    """Each word's vector times `onto`, which has a row for each subsequence of `at`, and a last row of zeros for all others."""
+    out = np.zeros((len(words), onto.shape[1]), np.float32)
+    for a in range(0, len(words), 1000):
+        row, ids, weight = entries(words[a : a + 1000])
+        if len(row):
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            out[a + row[first]] = np.add.reduceat(onto[ids] * weight[:, None], first, axis=0)
     return out
 
 
@@ -185,28 +204,25 @@ def train(seeds: list[str], toxic: list[str], clean: list[str], hard: list[str]
     """Weight of each subsequence, and bias, from seed words, labelled sentences and further clean words."""
     split = lambda s: [w for w in re.split(r"[\x20\x09-\x0D]+", s.lower()) if w]
     counts = Counter(w for s in clean for w in split(s))
-    words = sorted(counts, key=lambda w: (-counts[w], w))[:60_000]
+    words = sorted(counts, key=lambda w: (-counts[w], w))[:CLEAN_WORDS]
     words += sorted(set(hard) - set(words))
-    index: dict[int, int] = {}
-    for w in seeds:
-        for i in word_vector(w):
-            index.setdefault(i, len(index))
-    pull = np.zeros(1 << 18, np.float32)
-    for w in seeds:
-        for i, x in word_vector(w).items():
-            pull[i] += x
-    near = sorted(words, key=lambda w: (-sum(pull[i] * x for i, x in word_vector(w).items()), w))[: LANDMARKS // 2]
+    _, ids, weight = entries(seeds)
+    pull = np.bincount(ids, weight, 1 << 18).astype(np.float32)
+    drawn = projected(words, pull[:, None])[:, 0]
+    near = [words[i] for i in np.lexsort((words, -drawn))[: LANDMARKS // 2]]
     marks = list(dict.fromkeys([*seeds[:LANDMARKS], *near, *words[: LANDMARKS // 2]]))
-    for w in marks:
-        for i in word_vector(w):
-            index.setdefault(i, len(index))
-    z = _matrix(marks, index).astype(np.float64)
+    row, ids, weight = entries(marks)
+    known_ids, column = np.unique(ids, return_inverse=True)
+    z = np.zeros((len(marks), len(known_ids)))
+    np.add.at(z, (row, column), weight)
     value, vector = np.linalg.eigh(z @ z.T)
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
+    onto = np.zeros((1 << 18, root.shape[1]), np.float32)
+    onto[known_ids] = z.T @ root
 
     def mapped(own: list[str]) -> np.ndarray:
-        return np.vstack([_matrix(own[a : a + 4000], index) @ z.T @ root for a in range(0, len(own), 4000)]) if own else np.zeros((0, root.shape[1]))
+        return projected(own, onto)
 
     negative = mapped(words)
     bags = [b for b in (split(s) for s in toxic) if b]
@@ -226,11 +242,8 @@ def train(seeds: list[str], toxic: list[str], clean: list[str], hard: list[str]
         weight = 20.0 * max(1.0, len(negative) / max(1, len(witness)) / 50)
         cost = np.concatenate([np.full(len(witness), weight), np.full(len(changed), weight * VARIANT_COST), np.where(np.isin(words, hard), HARD_COST, 1.0)])
         machine = _newton(x, y, cost)
-    per_mark = root @ machine[:-1]
     weights = np.zeros(1 << 18, np.float32)
-    folded = per_mark @ z
-    for i, k in index.items():
-        weights[i] = folded[k]
+    weights[known_ids] = (root @ machine[:-1]) @ z
     return weights, float(machine[-1])
 
 
@@ -260,7 +273,7 @@ def _learn(rows: DataFrame) -> tuple[np.ndarray, float] | None:
     if not best:
         return None
     seeds = [r.w for r in best if r.yes >= SEED_SHARE * best[0].yes]
-    sentences = rows.select("t", F.explode(F.split("text", "[.!?\n]+")).alias("s")).where(F.length("s").between(3, 2000)).distinct()
+    sentences = rows.select("t", F.explode(F.split("text", "[.!?\n]+")).alias("s")).where(F.length("s") >= 3).distinct()
     plain = F.transform(F.split(F.lower("s"), "[\\x20\\x09-\\x0D]+"), lambda w: F.regexp_replace(w, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", ""))
     hit = F.arrays_overlap(plain, F.array(*map(F.lit, seeds)))
     take = lambda c: [r.s for r in sentences.where(c).orderBy(F.xxhash64("s"), "s").limit(SENTENCES).select("s").collect()]  # SENTENCES rows at most
@@ -310,6 +323,7 @@ def logistic(f: np.ndarray, yes: np.ndarray, n: np.ndarray) -> tuple[float, floa
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
+    ship(docs.sparkSession)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = _training(own, labels)
     model = _learn(rows)
@@ -320,7 +334,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return own.select("doc_id", out.alias("held_out"), value.alias("score"), (value >= THRESHOLD).cast("int").alias("predicted"))
     scored = cut(_raw(own, model), "scores")
     fit = _raw(rows.select("doc_id", "t", "text"), model).withColumnRenamed("doc_id", "d").join(rows.select(F.col("doc_id").alias("d"), "t"), "d")
-    bins = fit.groupBy((F.floor(F.col("f") * 50) / 50).alias("f")).agg(F.count(F.lit(1)).alias("n"), F.count_if("t").alias("yes")).orderBy("f").limit(BINS).collect()  # BINS rows at most
+    step = F.least(F.floor((F.col("f") + 3) * 50), F.lit(BINS)) / 50 - 3
+    bins = fit.groupBy(step.alias("f")).agg(F.count(F.lit(1)).alias("n"), F.count_if("t").alias("yes")).orderBy("f").collect()  # BINS + 1 rows at most, as scores are at least -3
     a, b = logistic(*(np.array([float(r[c]) for r in bins]) for c in ("f", "yes", "n")))
     value = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), a * F.col("f") + b))))
     return scored.select("doc_id", out.alias("held_out"), value.alias("score"), (value >= THRESHOLD).cast("int").alias("predicted"))
