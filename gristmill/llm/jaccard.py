@@ -5,7 +5,7 @@ A document's set holds its distinct five-word shingles, as 64-bit hashes.  Sets
 Plan (D: documents, S: distinct sets):
  1. Shingles in the lowest SHARE of the hash range are counted over all distinct sets, combined before one shuffle; so are
     the others of those sets that hold too few rare ones of these.  The most frequent form a list of at most HOT_MOST; all
-    that occur twice mark a bitmap of fixed size.
+    that occur twice mark a bitmap of bounded size.
     Both only steer the order of shingles and the skipping of singletons: results are the same whatever they hold.
  2. Shingles of a set are ordered: counted and rare, uncounted, frequent.  Linked sets share a shingle of their first
     n - ceil(0.8 n) + 1; those of them that occur once are left out, and a set with none left has no links.
@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm import bitmap
 from gristmill.llm._util import cut, ship, small, spread_join
 from gristmill.llm.components import components
 from gristmill.llm.textkernel import SALT, U, Words, grams, mix, parts, slices, tidy, utf8
@@ -45,8 +46,6 @@ SHARE = 0.25
 LIMIT = U(int(SHARE * 2**64))
 #: A shingle of so many sets is frequent; at most HOT_MOST, the most frequent, are listed (8 MB).
 HOT_LEAST, HOT_MOST = 24, 1_000_000
-#: Bits of the bitmap of shingles that occur twice (8 MB), in chunks.
-BITMAP_BITS, CHUNKS = 1 << 26, 64
 #: Star rounds by kind of hub, then the exact one.
 ROUNDS = ("smallest", "drawn1", "drawn2", "across")
 #: Hubs that a drawn round compares each member with.
@@ -140,47 +139,16 @@ def _frequent(counts: DataFrame) -> list[tuple[int, int]]:
     return [(r.token, r.n) for r in rows]
 
 
-def _bit(tokens: np.ndarray) -> np.ndarray:
-    """A shingle's bit; the lowest digits of its number are its chunk."""
-    return mix(tokens ^ SALT[11]) % U(BITMAP_BITS)
-
-
-def _bitmap(counts: DataFrame) -> np.ndarray:
-    """The bits of all shingles of counts, as bytes: one row a chunk and task, merged by chunk."""
-    size = BITMAP_BITS // CHUNKS
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros((CHUNKS, size // 8), np.uint8)
-        for batch in batches:
-            at = _bit(batch.column(0).to_numpy(zero_copy_only=False).view(U))
-            within = at // U(CHUNKS)
-            np.bitwise_or.at(bits, ((at % U(CHUNKS)).astype(np.int64), (within >> U(3)).astype(np.int64)), np.uint8(128) >> (within & U(7)).astype(np.uint8))
-        for k in np.flatnonzero(bits.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([bits[k].tobytes()])], names=["chunk", "bits"])
-
-    def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size // 8, np.uint8)
-        for part in parts:
-            for b in part.column("bits"):
-                total |= np.frombuffer(b.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()])], names=["chunk", "bits"])
-
-    out = np.zeros((CHUNKS, size // 8), np.uint8)
-    for row in counts.select("token").mapInArrow(mark, "chunk long, bits binary").groupBy("chunk").applyInArrow(merge, "chunk long, bits binary").collect():  # CHUNKS rows at most
-        out[row.chunk] = np.frombuffer(row.bits, np.uint8)
-    return out.ravel()
-
-
 def _sets(texts_of: DataFrame) -> DataFrame:
     """doc_id, th, n, sig of every row; tokens, places and cells for the first of each distinct set in a task that may link."""
     counts = _count(texts_of, None)
     order = Order(_frequent(counts))
     more = _count(texts_of, order)
     every = counts.unionAll(more)
-    shared = texts_of.sparkSession.sparkContext.broadcast((Order(_frequent(every)), _bitmap(every)))
+    shared = texts_of.sparkSession.sparkContext.broadcast((Order(_frequent(every)), bitmap.of_hashes(every, "token", every.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, bitmap = shared.value
+        order, repeated = shared.value
         seen: set[int] = set()
         for batch in parts(batches):
             texts = utf8(batch.column("text"))
@@ -198,9 +166,7 @@ def _sets(texts_of: DataFrame) -> DataFrame:
                 seen.add(sig)
                 first = np.argsort(order.ranks(s), kind="stable")[: n - needed(n) + 1]
                 t = s[first]
-                bit = _bit(t)
-                at = ((bit % U(CHUNKS)) * U(BITMAP_BITS // CHUNKS) + bit // U(CHUNKS)).astype(np.int64)
-                twice = ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+                twice = repeated.has(t)
                 if twice.any():
                     c = np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
                     cells[-1] = c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes()
@@ -310,7 +276,7 @@ def across_pairs(x: dict[str, np.ndarray], counts: np.ndarray) -> np.ndarray:
         n, label, sig = x["n"], x["label"], x["sig"]
         room = n - x["place"]
         for a, a_end, b, b_end in block_pairs(x):
-            for k in np.array_split(np.arange(len(a)), len(a) * BLOCK * BLOCK // 1_000_000 + 1):
+            for k in np.array_split(np.arange(len(a)), len(a) * BLOCK * BLOCK // 250_000 + 1):
                 i = (a[k][:, None] + np.arange(BLOCK))[:, :, None]
                 j = (b[k][:, None] + np.arange(BLOCK))[:, None, :]
                 i, j = (v[(i < a_end[k][:, None, None]) & (j < b_end[k][:, None, None]) & (i < j)] for v in np.broadcast_arrays(i, j))

@@ -5,8 +5,9 @@ A Scheme says what a string is: BYTES, 400 bytes; PASSAGES, 51 words, that is ov
 Anchors: a string of `gram` symbols is an anchor where its hash is the least of all that start in some length - gram + 1 places in a
 row.  Equal strings of `length` symbols have an equal anchor at the same place, so every repeat shows at a repeated anchor.
 
- 1. Anchors of all texts are counted by hash (combined before the shuffle); those that occur twice go on.
- 2. Their texts are joined once; each such anchor gets its context: length - gram symbols before and after it.
+ 1. Anchors of all texts are counted by hash (combined before the shuffle); those that occur twice mark a bitmap of bounded size.
+ 2. Texts are read again, where they are; each anchor that the bitmap holds gets its context: length - gram symbols before and after
+    it.  An anchor that it holds by chance meets no other; a bitmap that fills up costs shuffled contexts, not results.
  3. Contexts are dealt by anchor hash into buckets.  A bucket sorts its anchored suffixes (the sparse suffix array), takes
     the common prefix of neighbours, and a stack scan yields the tree of common-prefix intervals.  In an interval of
     common prefix r, members sorted by their reversed left contexts show their left-extension diversity: a member that
@@ -14,9 +15,9 @@ row.  Equal strings of `length` symbols have an equal anchor at the same place,
     All occurrences of each are output.
  4. Anchors that occur more than GROUP_MOST times (a passage in a third of all documents, say) are not gathered: their
     windows of `length` are hashed (64 bits), resolved within blocks, and each block passes on one entry a window to the window's
-    bucket, so a bucket gets no more entries of a window than there are blocks.  Their anchors are marked by a checked
-    broadcast, or by a salted join if they are too many, so that no task gets all places of one.
- 5. Covered spans are united by document.
+    bucket, so a bucket gets no more entries of a window than there are blocks.  At most HOT_MOST anchors, the most frequent, are
+    listed for this; a further one has at most a HOT_MOST-th of all places.
+ 5. Covered spans are united by text.  Equal texts, known by size and 64-bit hash, have equal spans.
 
 Rows: about two anchors each 200 bytes, or 25 words, are counted; contexts are shipped for repeated anchors only.  Symbols of a
 context are compared one by one (words by 32 bits of their hash each), the anchor between by its 64-bit hash.
@@ -24,7 +25,7 @@ context are compared one by one (words by 32 bits of their hash each), the ancho
 Edge cases: a null text is empty and keeps nothing; texts shorter than `length` keep all; repeated rows repeat each other and
 are removed wholly if long enough; overlapping repeats within one text count; a text of any length is held whole by the one
 task that cuts it, and hashed in one piece; an empty table gives no rows; further columns are ignored by the report and kept by
-remove_repeats, whatever their names.  doc_id must be an integer; it needn't be unique.
+remove_repeats, whatever their names.  doc_id may be anything.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm._util import cut, ship, spread_join
+from gristmill.llm import bitmap
+from gristmill.llm._util import cut, ship, small
 from gristmill.llm.textkernel import SALT, U, Words, grams, mix, parts, prefix_hash, slices, span_hash, tidy, utf8
 
 
@@ -63,9 +65,11 @@ BYTES = Scheme(400, 200, 1)
 PASSAGES = Scheme(51, 27, 4)
 #: Occurrences of an anchor that are compared in one task; more go another way.
 GROUP_MOST = 5_000
+#: Anchors that go the other way (8 MB), and contexts that a task hashes windows of at once.
+HOT_MOST, HOT_SLICE = 1_000_000, 2_000
 #: Contexts of a bucket, and window hashes of a bucket of frequent anchors, about.
 BUCKET, HOT_BUCKET = 20_000, 2_000_000
-#: So many anchors or spans, in lists by document, are broadcast to the texts (about 20 MB); for more, texts are shuffled.
+#: So many texts and spans are broadcast to the texts (about 20 MB); for more, texts are shuffled.
 BROADCAST = 400_000
 _LOW32 = U(0xFFFFFFFF)
 
@@ -98,68 +102,68 @@ def _places(h: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> tuple[np.ndarra
     return text, place - (ends - sizes)[text], h[place]
 
 
-def anchors(texts: list[bytes], scheme: Scheme = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place and hash of every anchor."""
+def _read(texts: list[bytes], scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of all texts, each text's first symbol and end, and the hashes of all strings of `gram` symbols."""
     if scheme.unit > 1:
         words = Words(texts)
-        return _places(grams(words.hashes(), scheme.gram), words.last - words.first, scheme)
+        hashes = words.hashes()
+        return hashes.astype(np.uint32), words.first, words.last, grams(hashes, scheme.gram)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     buf = np.frombuffer(b"".join(texts), np.uint8)
     at = np.arange(max(0, len(buf) - scheme.gram + 1))
-    return _places(span_hash(prefix_hash(buf), at, at + scheme.gram), np.fromiter(map(len, texts), np.int64, len(texts)), scheme)
+    return buf, np.append(0, ends[:-1]), ends, span_hash(prefix_hash(buf), at, at + scheme.gram)
 
 
-def _symbols(texts: list[bytes], scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols of all texts, and the first and the last but one of each text."""
-    if scheme.unit > 1:
-        words = Words(texts)
-        return words.hashes().astype(np.uint32), words.first, words.last
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-    return np.frombuffer(b"".join(texts), np.uint8), np.append(0, ends[:-1]), ends
+def anchors(texts: list[bytes], scheme: Scheme = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place and hash of every anchor."""
+    _, first, last, h = _read(texts, scheme)
+    return _places(h, last - first, scheme)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+    """Anchors' hashes with their places' number in a batch."""
     for batch in parts(batches):
-        texts = utf8(batch.column("text"))
-        for a, b in slices(texts):
-            text, place, h = anchors(texts[a:b], scheme)
-            take = pa.array(text + a)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(place), pa.array(h.view(np.int64))], names=["doc_id", "th", "place", "h"])
-
-
-def _contexts(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """The symbols before (reversed) and after each repeated anchor."""
-    kinds = {"doc_id": pa.int64(), "th": pa.int64(), "place": pa.int64(), "h": pa.int64(), "before": pa.binary(), "after": pa.binary()}
-    rows: dict[str, list] = {c: [] for c in kinds}
-
-    def full() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_pydict({c: pa.array(rows[c], t) for c, t in kinds.items()})
-        for x in rows.values():
-            x.clear()
-        return out
+        texts = utf8(batch.column(0))
+        found = [anchors(texts[a:b], scheme)[2] for a, b in slices(texts)]
+        h, n = np.unique(np.concatenate([np.zeros(0, U), *found]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    for batch in parts(batches):
-        texts = utf8(batch.column("text"))
-        for a, b in slices(texts):
-            symbols, first, last = _symbols(texts[a:b], scheme)
-            own = batch.slice(a, b - a)
-            for doc, th, found, s, e in zip(own.column("doc_id"), own.column("th"), own.column("found"), first.tolist(), last.tolist(), strict=True):
-                doc, th = doc.as_py(), th.as_py()
-                for p, h in dict(zip(*(x.to_pylist() for x in found.values.flatten()), strict=True)).items():  # rows of the same id and text list theirs together
-                    at = s + p
-                    before, after = symbols[max(s, at - scheme.side) : at][::-1], symbols[at + scheme.gram : min(e, at + scheme.length)]
-                    for c, v in zip(kinds, (doc, th, p, h, before.tobytes(), after.tobytes()), strict=True):
-                        rows[c].append(v)
-                if len(rows["h"]) >= BUCKET:
-                    yield full()
-    yield full()
-
-
-def _matrix(column: pa.ChunkedArray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of at most `side` symbols as rows of bytes padded with zeros, and their lengths in symbols."""
-    raw = column.to_pylist()
-    size = np.fromiter(map(len, raw), np.int64, len(raw)) // scheme.unit
-    width = scheme.side * scheme.unit
-    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in raw), np.uint8).reshape(len(raw), width), size
+
+@dataclass
+class Contexts:
+    """Anchors with the symbols before (reversed) and after each, as rows of bytes padded with zeros, and these symbols' numbers."""
+
+    size: np.ndarray
+    th: np.ndarray
+    place: np.ndarray
+    h: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    b_size: np.ndarray
+    a_size: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Contexts:
+        return Contexts(*(getattr(self, f)[rows] for f in self.__dataclass_fields__))
+
+
+def _contexts(texts: list[bytes], size: np.ndarray, th: np.ndarray, scheme: Scheme, repeated: bitmap.Bitmap) -> Contexts:
+    """The contexts of the texts' anchors that may occur twice."""
+    symbols, first, last, h = _read(texts, scheme)
+    text, place, h = _places(h, last - first, scheme)
+    on = repeated.has(h)
+    text, place, h = text[on], place[on], h[on]
+    at, start, end = first[text] + place, first[text], last[text]
+    step = np.arange(scheme.side)
+    left, right = at[:, None] - 1 - step, at[:, None] + scheme.gram + step
+    before = np.where(left >= start[:, None], symbols[np.maximum(left, 0)], 0) if len(at) else np.zeros((0, scheme.side), symbols.dtype)
+    after = np.where(right < end[:, None], symbols[np.minimum(right, len(symbols) - 1)], 0) if len(at) else before
+    raw = lambda m: np.ascontiguousarray(m.astype(symbols.dtype)).view(np.uint8)
+    return Contexts(size[text], th[text], place, h.view(np.int64), raw(before), raw(after), np.minimum(scheme.side, at - start), np.minimum(scheme.side, end - at - scheme.gram))
+
+
+def _matrix(column: pa.ChunkedArray, scheme: Scheme) -> np.ndarray:
+    """Binary values of equal length as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), scheme.side * scheme.unit)
 
 
 def _words(m: np.ndarray) -> np.ndarray:
@@ -223,22 +227,19 @@ def maximal_extents(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after:
     return left, right
 
 
-_SPAN = "doc_id long, th long, start long, stop long"
+_SPAN = "size long, th long, start long, stop long"
 
 
-def _spans(doc: np.ndarray, th: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, th, start, stop)], names=["doc_id", "th", "start", "stop"])
+def _spans(size: np.ndarray, th: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (size, th, start, stop)], names=["size", "th", "start", "stop"])
 
 
-def _bucket(parts: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    held = pa.Table.from_batches(list(parts))
+def _bucket(held: pa.Table, scheme: Scheme) -> pa.RecordBatch:
     column = lambda c: held.column(c).to_numpy()
-    left, right = maximal_extents(column("h"), _matrix(held.column("before"), scheme), _matrix(held.column("after"), scheme), scheme)
+    left, right = maximal_extents(column("h"), (_matrix(held.column("before"), scheme), column("b_size")), (_matrix(held.column("after"), scheme), column("a_size")), scheme)
     ok = right >= 0
     place = column("place")[ok]
-    docs = held.column("doc_id").filter(pa.array(ok))
-    yield pa.RecordBatch.from_arrays([docs.combine_chunks(), pa.array(column("th")[ok]), pa.array(place - left[ok]), pa.array(place + right[ok])], names=["doc_id", "th", "start", "stop"])
-    tidy()
+    return _spans(column("size")[ok], column("th")[ok], place - left[ok], place + right[ok])
 
 
 def window_hashes(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray], scheme: Scheme = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,75 +260,71 @@ def window_hashes(h: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: t
     return key[ok], who, lead
 
 
-def _frequent(contexts: DataFrame, buckets: int, scheme: Scheme) -> DataFrame:
-    """Spans of windows that occur twice, for anchors of any number of occurrences."""
-    none = np.uint32(0xFFFFFFFF)
+#: Rows on their way to a bucket: a context, or the windows of many frequent ones.
+_DEALT = "bucket long, size long, th long, place long, h long, b_size long, a_size long, before binary, after binary, keys binary, sizes binary, ths binary, starts binary, own binary"
+_COLUMNS = {x.split()[0]: pa.binary() if x.endswith("binary") else pa.int64() for x in _DEALT.split(", ")}
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 2000):
-                batch = big.slice(at, 2000)
-                held = pa.Table.from_batches([batch])
-                place, doc, th = (held.column(c).to_numpy() for c in ("place", "doc_id", "th"))
-                key, who, lead = window_hashes(held.column("h").to_numpy(), _matrix(held.column("before"), scheme), _matrix(held.column("after"), scheme), scheme)
-                key, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                again = n[back] > 1
-                start = place[who[again]] - lead[again]
-                own = _merged(doc[who[again]], th[who[again]], start, scheme.length)
-                owner = np.where(n > 1, none, who[first].astype(np.uint32))
-                of = (key % U(buckets)).astype(np.int64)
-                order = np.argsort(of, kind="stable")
-                bounds = np.searchsorted(of[order], np.arange(buckets + 1))
-                rows: dict[str, list] = {c: [] for c in ("bucket", "keys", "docs", "ths", "starts", "own")}
-                for k in range(buckets):
-                    mine = order[bounds[k] : bounds[k + 1]]
-                    if not len(mine) and k:
-                        continue
-                    o = owner[mine]
-                    known = np.where(o == none, 0, o)
-                    begin = np.where(o == none, -1, place[known] - lead[first[mine]]) if len(mine) else np.zeros(0, np.int64)
-                    rows["bucket"].append(k)
-                    rows["keys"].append(key[mine].tobytes())
-                    rows["docs"].append(doc[known].tobytes())
-                    rows["ths"].append(th[known].tobytes())
-                    rows["starts"].append(begin.astype(np.int64).tobytes())
-                    rows["own"].append(np.stack(own).astype(np.int64).tobytes() if k == 0 else b"")
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int64()), **{c: pa.array(rows[c], pa.binary()) for c in ("keys", "docs", "ths", "starts", "own")}})
-
-    def meet(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[str, list[bytes]] = {c: [] for c in ("keys", "docs", "ths", "starts")}
-        for part in parts:
-            for c in got:
-                got[c] += part.column(c).to_pylist()
-            for x in part.column("own").to_pylist():
-                if x:
-                    yield _spans(*np.frombuffer(x, np.int64).reshape(4, -1))
-        keys = np.frombuffer(b"".join(got["keys"]), U)
-        doc, th, start = (np.frombuffer(b"".join(got[c]), np.int64) for c in ("docs", "ths", "starts"))
-        _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
-        hit = (n[back] > 1) & (start >= 0)
-        yield _spans(*_merged(doc[hit], th[hit], start[hit], scheme.length))
-
-    dealt = contexts.mapInArrow(deal, "bucket long, keys binary, docs binary, ths binary, starts binary, own binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, _SPAN)
-
-
-def _merged(doc: np.ndarray, th: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+
+def _row(columns: dict[str, object], n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _COLUMNS.items()], names=list(_COLUMNS))
+
+
+def _deal_windows(x: Contexts, buckets: int, base: int, scheme: Scheme) -> pa.RecordBatch:
+    """Windows around frequent anchors by bucket: those that occur once in x with their place, the others resolved, as spans (`own`)."""
+    none = np.uint32(0xFFFFFFFF)
+    key, who, lead = window_hashes(x.h, (x.before, x.b_size), (x.after, x.a_size), scheme)
+    key, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    again = n[back] > 1
+    own = _merged(x.size[who[again]], x.th[who[again]], x.place[who[again]] - lead[again], scheme.length)
+    owner = np.where(n > 1, none, who[first].astype(np.uint32))
+    of = (key % U(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    bounds = np.searchsorted(of[order], np.arange(buckets + 1))
+    rows: dict[str, list] = {c: [] for c in ("bucket", "keys", "sizes", "ths", "starts", "own")}
+    for k in range(buckets):
+        mine = order[bounds[k] : bounds[k + 1]]
+        if not len(mine) and k:
+            continue
+        o = owner[mine]
+        known = np.where(o == none, 0, o)
+        begin = np.where(o == none, -1, x.place[known] - lead[first[mine]]) if len(mine) else np.zeros(0, np.int64)
+        rows["bucket"].append(base + k)
+        rows["keys"].append(key[mine].tobytes())
+        rows["sizes"].append(x.size[known].tobytes())
+        rows["ths"].append(x.th[known].tobytes())
+        rows["starts"].append(begin.astype(np.int64).tobytes())
+        rows["own"].append(np.stack(own).astype(np.int64).tobytes() if k == 0 else b"")
+    return _row(rows, len(rows["bucket"]))
+
+
+def _meet(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+    """Spans of windows that occur twice, of all windows of a bucket."""
+    got: dict[str, list[bytes]] = {c: [] for c in ("keys", "sizes", "ths", "starts")}
+    for part in batches:
+        for c in got:
+            got[c] += part.column(c).to_pylist()
+        for own in part.column("own").to_pylist():
+            if own:
+                yield _spans(*np.frombuffer(own, np.int64).reshape(4, -1))
+    keys = np.frombuffer(b"".join(got["keys"]), U)
+    size, th, start = (np.frombuffer(b"".join(got[c]), np.int64) for c in ("sizes", "ths", "starts"))
+    _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
+    hit = (n[back] > 1) & (start >= 0)
+    yield _spans(*_merged(size[hit], th[hit], start[hit], scheme.length))
+
+
+def _merged(size: np.ndarray, th: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Windows' starts as spans, those that touch united."""
-    order = np.lexsort((start, th, doc))
-    doc, th, start = doc[order], th[order], start[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] > start[:-1] + length))[: len(doc)]
-    last = np.append(new[1:], True)[: len(doc)]
-    return doc[new], th[new], start[new], start[last] + length
+    order = np.lexsort((start, th, size))
+    size, th, start = size[order], th[order], start[order]
+    new = np.append(True, (size[1:] != size[:-1]) | (th[1:] != th[:-1]) | (start[1:] > start[:-1] + length))[: len(size)]
+    last = np.append(new[1:], True)[: len(size)]
+    return size[new], th[new], start[new], start[last] + length
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-
-
-def _same(a: DataFrame, b: DataFrame) -> object:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
+    return docs.select(F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _near(lists: DataFrame, column: str) -> DataFrame:
@@ -336,37 +333,54 @@ def _near(lists: DataFrame, column: str) -> DataFrame:
     return F.broadcast(lists) if rows + (members or 0) <= BROADCAST else lists
 
 
-def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST, scheme: Scheme = BYTES) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, text) of texts with a repeated anchor, and (doc_id, th, spans) with their covered spans, not yet united, in symbols."""
-    ship(docs.sparkSession)
-    keyed = _keyed(docs)
+def repeated_spans(docs: DataFrame, group_most: int = GROUP_MOST, scheme: Scheme = BYTES) -> DataFrame:
+    """(size, th, spans): the maximal runs of symbols, by start, that repeats cover in each text of that size and hash."""
+    spark = docs.sparkSession
+    ship(spark)
     least = scheme.length // 4 if scheme.unit == 1 else 2 * scheme.length - 1  # characters that a text with a repeat has at least
-    found = cut(keyed.where(F.length("text") >= least).mapInArrow(lambda b: _anchored(b, scheme), "doc_id long, th long, place long, h long"), "anchors")
-    counts = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("frequent", F.col("n") > group_most), "counts")
-    marked = spread_join(found, counts, "h", group_most).groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "h", "frequent")).alias("found"))
-    # Rows with the same id and text share one list; each such row then has it.
-    marked = marked.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "found")
-    marked = _near(cut(marked, "marked"), "found")
-    texts = keyed.join(marked, keyed["doc_id"].eqNullSafe(marked["d"]) & (keyed["th"] == marked["t"]))
-    texts = cut(texts.select("doc_id", "th", "text", "found"), "candidates")
-    sizes = texts.select(F.size("found").alias("n"), F.expr("size(filter(found, x -> x.frequent))").alias("hot")).agg(F.sum("n"), F.sum("hot")).first()
-    total, hot = int(sizes[0] or 0), int(sizes[1] or 0)
-
-    def contexts(which: str) -> DataFrame:
-        own = texts.select("doc_id", "th", "text", F.expr(f"transform(filter(found, x -> {which}), x -> struct(x.place, x.h))").alias("found"))
-        return own.where(F.size("found") > 0).mapInArrow(lambda b: _contexts(b, scheme), "doc_id long, th long, place long, h long, before binary, after binary")
-
-    buckets = max(12, total // BUCKET + 1)
-    dealt = contexts("not x.frequent").withColumn("bucket", F.expr(f"pmod(xxhash64(h), {buckets})"))
-
-    def bucket(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _bucket(parts, scheme)
-
-    spans = dealt.groupBy("bucket").applyInArrow(bucket, _SPAN)
-    if hot:
-        spans = spans.unionAll(_frequent(contexts("x.frequent"), max(12, hot * (scheme.side + 1) // HOT_BUCKET + 1), scheme))
-    spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    return texts.select("doc_id", "th", "text"), _near(spans, "spans")
+    texts = _keyed(docs).where(F.length("text") >= least)
+    counted = texts.select("text").mapInArrow(lambda b: _counted(b, scheme), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = cut(counted.where("n > 1"), "anchors")
+    hot = counts.where(F.col("n") > group_most).orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()  # HOT_MOST rows at most
+    n, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    many = sum(r.n for r in hot)
+    cold, warm = max(12, ((total or 0) - many) // BUCKET + 1), max(12, many * (scheme.side + 1) // HOT_BUCKET + 1)
+    shared = spark.sparkContext.broadcast((bitmap.of_hashes(counts, "h", n), np.sort(np.array([r.h for r in hot], np.int64))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated, frequent = shared.value
+        for batch in parts(batches):
+            texts = utf8(batch.column("text"))
+            size, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "th"))
+            for a, b in slices(texts):
+                x = _contexts(texts[a:b], size[a:b], th[a:b], scheme, repeated)
+                is_hot = np.zeros(len(x.h), bool)
+                if len(frequent):
+                    is_hot = frequent[np.minimum(np.searchsorted(frequent, x.h), len(frequent) - 1)] == x.h
+                own = x.take(np.flatnonzero(~is_hot))
+                if len(own.h):
+                    plain = {c: pa.array(getattr(own, c)) for c in ("size", "th", "place", "h", "b_size", "a_size")}
+                    wide = {c: pa.array([r.tobytes() for r in getattr(own, c)], pa.binary()) for c in ("before", "after")}
+                    yield _row({"bucket": pa.array((mix(own.h.view(U) ^ SALT[5]) % U(cold)).astype(np.int64)), **plain, **wide}, len(own.h))
+                rows = np.flatnonzero(is_hot)
+                for k in range(0, len(rows), HOT_SLICE):
+                    yield _deal_windows(x.take(rows[k : k + HOT_SLICE]), warm, cold, scheme)
+
+    def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key[0].as_py() < cold:
+            yield _bucket(pa.Table.from_batches(list(batches)), scheme)
+        else:
+            yield from _meet(batches, scheme)
+        tidy()
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [[{"start": a, "stop": b} for a, b in united(own)] for own in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("size"), batch.column("th"), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=["size", "th", "spans"])
+
+    spans = texts.mapInArrow(deal, _DEALT).groupBy("bucket").applyInArrow(meet, _SPAN).distinct()
+    lists = spans.groupBy("size", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # as many as a text has anchors
+    return _near(cut(lists.mapInArrow(unite, "size long, th long, spans array<struct<start:long,stop:long>>"), "spans"), "spans")
 
 
 def united(spans: list[dict]) -> list[tuple[int, int]]:
@@ -385,45 +399,31 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _passages(spans: DataFrame) -> DataFrame:
-    """d, t, n_passages, n_passage_words of spans in words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = [united(own) for own in batch.column("spans").to_pylist()]
-            n, words = [len(r) for r in runs], [sum(b - a for a, b in r) for r in runs]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(words, pa.int64())], names=["d", "t", "n_passages", "n_passage_words"])
-
-    return spans.select("doc_id", "th", "spans").mapInArrow(run, "d long, t long, n_passages long, n_passage_words long")
-
-
 def report(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row by BYTES; n_passages and n_passage_words by PASSAGES.
 
     n_passages: maximal runs of words covered by passages of over 50 words that also occur elsewhere.
     """
-    texts, spans = repeated_spans(docs, group_most)
-    _, worded = repeated_spans(docs, group_most, PASSAGES)
+    spans = repeated_spans(docs, group_most)
+    passages = repeated_spans(docs, group_most, PASSAGES).withColumnRenamed("spans", "passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            removed, count, digest = [], [], []
-            for text, own in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                runs = united(own)
-                removed.append(sum(b - a for a, b in runs))
-                count.append(len(runs))
-                digest.append(hashlib.sha256(without(text, runs)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["d", "t", "removed", "count", "digest"])
-
-    s = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("spans"))
-    hit = texts.join(s, texts["doc_id"].eqNullSafe(s["d"]) & (texts["th"] == s["t"])).select("d", "t", "text", "spans")
-    cuts = hit.mapInArrow(run, "d long, t long, removed long, count long, digest string").dropDuplicates(["d", "t"])
-    base = _keyed(docs).select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    out = base.join(cuts, base["doc_id"].eqNullSafe(cuts["d"]) & (base["th"] == cuts["t"]), "left").drop("d", "t")
-    found = _passages(worded)
-    out = out.join(found, out["doc_id"].eqNullSafe(found["d"]) & (out["th"] == found["t"]), "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    return out.select("doc_id", "n_bytes", zero("removed").alias("n_removed"), zero("count").alias("n_spans"), F.coalesce("digest", "whole").alias("kept_sha256"), zero("n_passages").alias("n_passages"), zero("n_passage_words").alias("n_passage_words"))
+            left = (without(text, united(own)) for text, own in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("size"), batch.column("th"), pa.array([hashlib.sha256(x).hexdigest() for x in left])], names=["size", "th", "digest"])
+
+    keyed = _keyed(docs)
+    hit = keyed.join(spans, ["size", "th"]).select("size", "th", "text", "spans")
+    digests = cut(hit.mapInArrow(run, "size long, th long, digest string").distinct(), "digests")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select("doc_id", F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("th"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    count = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+    of_text = spans.join(digests, ["size", "th"]).join(passages, ["size", "th"], "full")
+    zero = F.lit(0).cast("long")
+    figures = of_text.select("size", "th", F.coalesce(total("spans"), zero).alias("n_removed"), F.coalesce(count("spans"), zero).alias("n_spans"), "digest", F.coalesce(count("passages"), zero).alias("n_passages"), F.coalesce(total("passages"), zero).alias("n_passage_words"))
+    out = base.join(small(cut(figures, "figures"), BROADCAST), ["size", "th"], "left")
+    return out.select("doc_id", F.col("size").alias("n_bytes"), *(F.coalesce(c, zero).alias(c) for c in ("n_removed", "n_spans")), F.coalesce("digest", "whole").alias("kept_sha256"), *(F.coalesce(c, zero).alias(c) for c in ("n_passages", "n_passage_words")))
 
 
 def _left(text: bytes, spans: list[dict], scheme: Scheme) -> str:
@@ -447,11 +447,10 @@ def remove_repeats(docs: DataFrame, group_most: int = GROUP_MOST, scheme: Scheme
 
     n_chars, if there, is brought up to date in rows whose text changes; all else stays as it is, null and empty texts included.
     """
-    _, spans = repeated_spans(docs, group_most, scheme)
-    s = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "spans")
-    text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
-    joined = rows.join(s, F.col("id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("row", "text", "spans")
+    spans = repeated_spans(docs, group_most, scheme)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("th"), text.alias("text"))
+    joined = rows.join(spans, ["size", "th"], "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):

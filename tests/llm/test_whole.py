@@ -221,7 +221,6 @@ def test_licences_know_texts_by_digest(spark):
     rows = [*enumerate(texts), *((200 + i, t + " and more") for i, t in enumerate(texts))]
     got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, DOCS)).collect()}
     assert [got[i] for i in range(len(texts))] == list(there.values()) and all(got[200 + i] is None for i in range(len(texts)))
-    assert all(got[100 + i] == n for i, n in enumerate(there.values()) if "\n copyright" not in texts[i].lower().replace("\n\n", "\n")) or True
 
 
 def test_word_scores_are_the_kernel():
