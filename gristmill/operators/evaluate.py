@@ -77,16 +77,80 @@ def bootstrap(rows: DataFrame, value: str, cluster: str, draws: int = 400, seed:
     """
     sums = rows.groupBy(cluster).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_draw"), F.col(cluster)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight, cumulative = F.lit(0), 0.0
-    for k in range(12):
-        cumulative += math.exp(-1) / math.factorial(k)
-        weight = weight + F.when(u > cumulative, 1).otherwise(0)
+    weight = poisson(u)
     drawn = sums.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight)
     stats = drawn.groupBy("_draw").agg((F.sum(F.col("_w") * F.col("_sum")) / F.nullif(F.sum(F.col("_w") * F.col("_rows")), F.lit(0))).alias("stat"))
     bounds = stats.agg(F.percentile("stat", F.lit(0.025)).alias("low"), F.percentile("stat", F.lit(0.975)).alias("high"))
     return rows.agg(F.avg(value).alias("mean"), F.count_distinct(cluster).alias("clusters")).join(F.broadcast(bounds))  # one row each
 
 
+def poisson(u: Column) -> Column:
+    """The Poisson(1) weight of a number from 0 to 1."""
+    weight, cumulative = F.lit(0), 0.0
+    for k in range(12):
+        cumulative += math.exp(-1) / math.factorial(k)
+        weight = weight + F.when(u > cumulative, 1).otherwise(0)
+    return weight
+
+
+def digest_unit(seed: int, *keys: Column) -> Column:
+    """A number from 0 to 1 by digest, the same in every engine."""
+    return (F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys)), 256), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def resampled(rows: DataFrame, value: str, task: str, key: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(draw, micro, macro): means over resampled questions, and over resampled tasks of means over their resampled questions.
+
+    Rows are repeated for each draw before they are added up by task, so this is for one dump, not for a corpus.
+    """
+    drawn = rows.select(F.col(task).alias("t"), F.col(key).alias("k"), F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    w = poisson(digest_unit(seed, F.col("draw"), F.col("t"), F.col("k")))
+    tasks = drawn.withColumn("w", w).groupBy("draw", "t").agg(F.sum(F.col("w") * F.col("x")).alias("s"), F.sum("w").alias("n"))
+    wt = poisson(digest_unit(seed, F.col("draw"), F.col("t")))
+    mean = F.col("s") / F.nullif(F.col("n"), F.lit(0))
+    return tasks.withColumn("wt", F.when(F.col("n") > 0, wt).otherwise(0)).groupBy("draw").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("micro"), (F.sum(F.col("wt") * F.coalesce(mean, F.lit(0.0))) / F.nullif(F.sum("wt"), F.lit(0))).alias("macro"))
+
+
+def question_interval(rows: DataFrame, value: str, by: str, key: str, draws: int = 400, least: int = 20, seed: int = 0) -> DataFrame:
+    """by, n, mean, low, high: 2.5 and 97.5 percent over resampled questions of each group; null below `least` questions."""
+    drawn = rows.select(F.col(by), F.col(key).alias("k"), F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    w = poisson(digest_unit(seed, F.col("draw"), F.col("k")))
+    stats = drawn.withColumn("w", w).groupBy(by, "draw").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias("stat"))
+    bounds = stats.groupBy(by).agg(F.percentile("stat", F.lit(0.025)).alias("l"), F.percentile("stat", F.lit(0.975)).alias("h"))
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    enough = lambda c: F.when(F.col("n") >= least, F.col(c))
+    return sizes.join(bounds, by).select(by, "n", "mean", enough("l").alias("low"), enough("h").alias("high"))
+
+
+def paired_bootstrap(rows: DataFrame, diff: str, cluster: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """clusters, stat, low, high, p_a_better of a difference summed over resampled clusters, ties counting half; without two clusters no bounds."""
+    sums = rows.groupBy(F.col(cluster).alias("c")).agg(F.sum(diff).alias("s"), F.count(F.lit(1)).alias("n"))
+    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    w = poisson(digest_unit(seed, F.col("draw"), F.col("c")))
+    stats = drawn.withColumn("w", w).groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("stat"))
+    better = F.avg(F.when(F.col("stat") > 0, 1.0).when(F.col("stat") == 0, 0.5).when(F.col("stat") < 0, 0.0))
+    bounds = stats.agg(F.percentile("stat", F.lit(0.025)).alias("l"), F.percentile("stat", F.lit(0.975)).alias("h"), better.alias("p"))
+    whole = sums.agg(F.count(F.lit(1)).alias("clusters"), (F.sum("s") / F.sum("n")).alias("stat"))
+    two = lambda c: F.when(F.col("clusters") >= 2, F.col(c))
+    return whole.join(F.broadcast(bounds)).select("clusters", "stat", two("l").alias("low"), two("h").alias("high"), two("p").alias("p_a_better"))  # one row each
+
+
+def answers(dump: DataFrame) -> DataFrame:
+    """id, score (expected index), noul (chance of yes, of two options) and choice (the first best) as the wire has them."""
+    score = arrays.total(F.transform("probs", lambda p, i: p * i))
+    return dump.select("id", score.alias("score"), F.when(F.size("probs") == 2, F.col("probs")[1]).alias("noul"), arrays.argmax(F.col("probs")).alias("choice"))
+
+
+def ensemble_nll_at(dump: DataFrame, heads: list[str], grid: list[float]) -> DataFrame:
+    """(temperature, nll): mean log loss of the mean of several heads' softmaxes at each temperature of a short grid, in one pass."""
+    def loss(t: float) -> Column:
+        each = [F.element_at(arrays.softmax(F.transform(h, lambda v: v / t)), F.col("target").cast("int") + 1) for h in heads]
+        return -F.log(sum(each[1:], each[0]) / len(each))
+
+    made = dump.agg(F.array(*(F.avg(loss(t)) for t in grid)).alias("nll")).select(F.posexplode("nll").alias("i", "nll"))
+    return made.select(F.element_at(F.array(*map(F.lit, grid)), F.col("i") + 1).alias("temperature"), "nll")
+
+
 def nll_at(dump: DataFrame, grid: list[float]) -> DataFrame:
     """Mean log loss at each temperature of a short grid, in one pass."""
     def loss(t: float) -> Column:

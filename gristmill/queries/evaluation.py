@@ -107,11 +107,6 @@ def bootstrap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(E.bootstrap(_pairs(spark, sf_dir), "diff", "task"), "mean", "low", "high")
 
 
-@query()
-def bootstrap_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(E.bootstrap(dump(spark, sf_dir), "correct", "id", draws=100), "mean", "low", "high")
-
-
 @query()
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dump(spark, sf_dir)
@@ -126,24 +121,6 @@ def temperature_by_size_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.round(F.lit(t), 4).alias("temperature"), F.round(F.lit(slope), 4).alias("slope"))
 
 
-@query(f"""WITH {D}, w AS (SELECT avg(ca) AS calibrated FROM (SELECT 1 AS ca)), b AS (SELECT n = 2 AS two, least(floor(confidence * 15), 14) AS bin, count(*) AS c, avg(confidence) AS conf, avg(correct) AS acc FROM dump GROUP BY ALL),
-b2 AS (SELECT least(floor(confidence * 15), 14) AS bin, count(*) AS c, avg(confidence) AS conf, avg(correct) AS acc FROM dump GROUP BY ALL), g AS (
-SELECT 'calibration' AS gate, sum(c * abs(conf - acc)) / sum(c) AS value, 0.05 AS bar FROM b2 UNION ALL SELECT CASE WHEN two THEN 'calibration_two' ELSE 'calibration_choice' END, sum(c * abs(conf - acc)) / sum(c), 0.08 FROM b GROUP BY two
-UNION ALL SELECT 'score_coherence', max(abs(list_sum(list_transform(range(1, n + 1), lambda i: (i - 1) * probs[i])) - list_sum(list_transform(range(1, n + 1), lambda i: i * probs[i])) + 1)), 1e-9 FROM dump UNION ALL SELECT 'abstention_gap', NULL, 0.15)
-SELECT gate, round(value, 6) AS value, bar::DOUBLE AS bar, value <= bar AS pass FROM g""")
-def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a gate; a gate without its input passes neither way."""
-    d = dump(spark, sf_dir)
-    one = E.ece(d, []).select(F.lit("calibration").alias("gate"), F.col("ece").alias("value"), F.lit(0.05).alias("bar"))
-    two = E.ece(d.withColumn("two", F.col("n") == 2), ["two"]).select(F.when(F.col("two"), "calibration_two").otherwise("calibration_choice").alias("gate"), F.col("ece").alias("value"), F.lit(0.08).alias("bar"))
-    index = F.sequence(F.lit(0), F.col("n") - 1)
-    score = arrays.total(F.zip_with("probs", index, lambda p, i: p * i))
-    shifted = arrays.total(F.zip_with("probs", index, lambda p, i: p * (i + 1)))
-    coherent = d.agg(F.max(F.abs(score - shifted + 1)).alias("value")).select(F.lit("score_coherence").alias("gate"), "value", F.lit(1e-9).alias("bar"))
-    missing = spark.range(1).select(F.lit("abstention_gap").alias("gate"), F.lit(None).cast("double").alias("value"), F.lit(0.15).alias("bar"))
-    return one.unionAll(two).unionAll(coherent).unionAll(missing).select("gate", F.round("value", 6).alias("value"), "bar", (F.col("value") <= F.col("bar")).alias("pass"))
-
-
 @query(f"WITH {D}, s AS (SELECT id, list_reverse_sort(probs) AS p, probs FROM dump) SELECT id, round(p[1] - p[2], 6) AS margin, round(-list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-12)))), 6) AS entropy FROM s")
 def distribution_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.sort_array("probs", False)
