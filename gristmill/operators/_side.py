@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -16,13 +16,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that the session names, and read again."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder that the session names; a folder of our own only where all runs in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, and read again."""
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
