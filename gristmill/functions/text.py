@@ -28,8 +28,16 @@ def shingles(words: Column, k: int, short: bool = False) -> Column:
     return F.array_distinct(F.when(F.size(words) >= k, runs).otherwise(whole))
 
 
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def shingle_hashes(words: Column, k: int, short: bool = False) -> Column:
-    return F.transform(shingles(words, k, short), lambda s: F.xxhash64(s))
+    """Hashes of the distinct runs of k words, or hashes of words; no run is put together as a string."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
+    none = F.array().cast("array<bigint>")
+    whole = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(none) if short else none
+    return F.array_distinct(F.when(F.size(words) >= k, runs).otherwise(whole))
 
 
 def option_norm(value: Column) -> Column:
@@ -72,6 +80,15 @@ def scrub(text: Column, words: list[str], mask: str = "[REDACTED]") -> Column:
     return F.regexp_replace(text, "(?i)(?<![A-Za-z0-9])(" + "|".join(stems) + ")s?(?![A-Za-z0-9])", mask)
 
 
+def scrub_by(text: Column, label: Column, mask: str = "[REDACTED]") -> Column:
+    """As scrub, by the words of a column: the pattern is made for each row."""
+    words = F.filter(F.split(F.lower(label), r"\s+"), lambda w: F.length(w) >= 4)
+    stems = F.transform(words, lambda w: F.coalesce(F.nullif(F.regexp_replace(w, "s+$", ""), F.lit("")), w))
+    either = F.array_join(F.transform(F.reverse(F.array_sort(F.array_distinct(stems))), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
+    pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9])("), either, F.lit(")s?(?![A-Za-z0-9])"))
+    return F.when(F.size(stems) > 0, F.regexp_replace(text, pattern, F.lit(mask))).otherwise(text)
+
+
 def spelled_out(option: Column, state: Column) -> Column:
     """Whether the option stands in the state as whole tokens, whatever its case."""
     padded = lambda x: F.concat(F.lit(" "), F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "), F.lit(" "))
@@ -99,7 +116,7 @@ def alias_key(label: Column) -> Column:
 def is_ordinal(options: Column) -> Column:
     """Three options or more that are numbers in steps of one, or an ordered vocabulary."""
     numbers = F.array_sort(F.transform(options, lambda o: o.try_cast("double")))
-    steps = F.zip_with(F.slice(numbers, 2, 1000), F.slice(numbers, 1, F.size(numbers) - 1), lambda b, a: b - a)
+    steps = F.zip_with(F.slice(numbers, F.lit(2), F.size(numbers)), F.slice(numbers, 1, F.size(numbers) - 1), lambda b, a: b - a)
     contiguous = F.forall(numbers, lambda x: x.isNotNull()) & F.forall(steps, lambda s: s == 1.0)
     low = F.transform(options, lambda o: F.lower(F.trim(o)))
     same = None

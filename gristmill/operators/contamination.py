@@ -21,7 +21,7 @@ MIN_HITS, MIN_COVER = 3, 0.5
 def blocklist(items: DataFrame, item: str = "item_id", col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(item, size, h) of long items and (item, h) of short ones.  Null texts have neither."""
     words = items.select(F.col(item).alias("item"), text.tokens(F.col(col)).alias("w"))
-    long = words.where(F.size("w") >= LONG).select("item", text.shingle_hashes(F.col("w"), K).alias("hs"))
+    long = words.where(F.size("w") >= LONG).select("item", text.word_hashes(F.col("w")).alias("w")).select("item", text.shingle_hashes(F.col("w"), K).alias("hs"))
     long = long.select("item", F.size("hs").cast("long").alias("size"), F.explode("hs").alias("h"))
     short = words.where(F.size("w").between(SHORT, LONG - 1)).select("item", F.xxhash64(F.array_join("w", " ")).alias("h"))
     return long, short

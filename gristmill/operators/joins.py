@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text
-from gristmill.operators._side import cut
+from gristmill.operators._side import cut, small
 
 #: Words of an anchor by which an excerpt finds texts.
 ANCHOR = 3
@@ -51,7 +51,7 @@ def excluded(rows: DataFrame, positions: DataFrame, key: Column) -> DataFrame:
 def rematch(docs: DataFrame, items: DataFrame, doc: str, item: str, col: str, k: int = 8, least: int = 3) -> DataFrame:
     """(doc, item, shared): documents that are an item's whole text, or share `least` runs of k words with one item."""
     def runs(x: DataFrame, key: str) -> DataFrame:
-        made = x.select(key, text.tokens(F.coalesce(F.col(col), F.lit(""))).alias("w")).select(key, F.explode_outer(text.shingle_hashes(F.col("w"), k)).alias("h"))
+        made = x.select(key, text.word_hashes(text.tokens(F.coalesce(F.col(col), F.lit("")))).alias("w")).select(key, F.explode_outer(text.shingle_hashes(F.col("w"), k)).alias("h"))
         return made.where("h is not null")
 
     shared = runs(docs, doc).join(runs(items, item), "h").groupBy(doc, item).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
@@ -70,20 +70,21 @@ def found_elsewhere(excerpts: DataFrame, texts: DataFrame, key: str, owner: str,
     spans = F.filter(F.transform(F.split(F.col(col), "\\Q" + mask + "\\E"), norm), lambda s: s != "")
     longest = F.array_max(F.transform(spans, lambda s: F.struct(F.size(F.split(s, " ")).alias("n"), s.alias("s"))))["s"]
     own = excerpts.select(key, F.col(owner).alias("own"), spans.alias("spans"), F.slice(F.split(longest, " "), 1, ANCHOR).alias("a"))
-    own = cut(own.withColumn("anchor", F.array_join("a", " ")))
+    own = cut(own.withColumn("anchor", F.xxhash64(text.word_hashes(F.col("a")))))
     sizes = [n for n in range(1, ANCHOR + 1) if own.where(F.size("a") == n).limit(1).count()]
-    known = texts.select(F.col(owner).alias("other"), norm(F.coalesce(F.col(col), F.lit(""))).alias("body"))
     none = own.where(F.size("spans") == 0).select(key, F.col("own").alias("other"))
     if not sizes:
         return none
-    words = F.split("body", " ")
+    bodies = texts.select(F.col(owner).alias("other"), norm(F.coalesce(F.col(col), F.lit(""))).alias("body"))
+    known = cut(bodies.select("other", "body", text.word_hashes(F.split("body", " ")).alias("w")))  # words are split once
 
     def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, n)))
 
     every = reduce(F.concat, map(runs, sizes))
-    places = known.select("other", F.explode(F.array_distinct(every)).alias("anchor")).join(F.broadcast(own.select("anchor").distinct()) if own.count() <= 200_000 else own.select("anchor").distinct(), "anchor")
-    pairs = own.join(places, "anchor").where(F.col("other") != F.col("own")).join(known, "other")
+    wanted = own.select("anchor").distinct()
+    places = known.select("other", F.explode(F.array_distinct(every)).alias("anchor")).join(small(wanted), "anchor")
+    pairs = own.join(places, "anchor").where(F.col("other") != F.col("own")).join(known.select("other", "body"), "other")
     holds = F.forall("spans", lambda s: F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), s, F.lit(" "))))
     return pairs.where(holds).groupBy(key).agg(F.min("other").alias("other")).unionAll(none)
 

@@ -37,7 +37,7 @@ def describe_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", (F.col("r") <= F.floor(F.col("size") * 0.5)).alias("described"))
 
 
-@query("""WITH t AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), d AS (SELECT lang, count(*) AS tasks FROM t GROUP BY lang), q AS (SELECT lang, tasks, floor(600 * 0.25)::BIGINT AS want FROM d),
+@query("""WITH t AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), d AS (SELECT lang, count(*) AS tasks FROM t GROUP BY lang), q AS (SELECT lang, tasks, (600 // (SELECT count(*) FROM d))::BIGINT AS want FROM d),
 r AS (SELECT doc_id, d.lang, d.source, row_number() OVER (PARTITION BY d.lang, d.source ORDER BY sha1('5:' || doc_id), doc_id) AS r FROM documents d), k AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY sha1('5:' || source), source) AS k FROM t)
 SELECT r.doc_id, r.lang FROM r JOIN q USING (lang) JOIN k ON k.lang = r.lang AND k.source = r.source WHERE r.r <= greatest(2, want // tasks) + CASE WHEN k.k <= want % tasks AND want // tasks >= 2 THEN 1 ELSE 0 END""")
 def domain_matched_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def domain_matched_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     tasks = docs.groupBy("lang", "source").count()
     tasks = tasks.withColumns({"tasks": F.count(F.lit(1)).over(Window.partitionBy("lang")), "k": F.row_number().over(Window.partitionBy("lang").orderBy(hashing.hash_order(5, F.col("source")), "source"))})
-    want = 150
+    want = 600 // max(1, docs.select("lang").distinct().count())
     limit = F.greatest(F.lit(2), F.floor(want / F.col("tasks"))) + F.when((F.col("k") <= want % F.col("tasks")) & (F.floor(want / F.col("tasks")) >= 2), 1).otherwise(0)
     x = B.ranked(docs, ["lang", "source"], [hashing.hash_order(5, F.col("doc_id").cast("string")), "doc_id"])
     return x.join(tasks.select("lang", "source", limit.alias("limit")), ["lang", "source"]).where("r <= limit").select("doc_id", "lang")

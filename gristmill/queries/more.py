@@ -102,17 +102,9 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.coalesce(*(F.try_to_timestamp("t", F.lit(f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd MMM yyyy"))).cast("date").alias("day"))
 
 
-@query("""WITH h AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02 23:00:00', INTERVAL 1 HOUR)) AS h) SELECT strftime(h, '%Y-%m-%d-') || hour(h) AS key, count(e.event_id) AS events FROM h LEFT JOIN events e ON date_trunc('hour', e.ts) = h GROUP BY 1""")
-def hourly_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly keys without a leading zero, with the events of each hour."""
-    h = spark.range(1).select(F.explode(F.expr("sequence(timestamp '2024-01-01', timestamp '2024-01-02 23:00:00', interval 1 hour)")).alias("h"))
-    n = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    return h.join(n, "h", "left").select(F.concat(F.date_format("h", "yyyy-MM-dd-"), F.hour("h").cast("string")).alias("key"), F.coalesce("n", F.lit(0).cast("long")).alias("events"))
-
-
 @query("""WITH b AS (SELECT date_trunc('hour', min(ts)) AS a, date_trunc('hour', max(ts)) AS z FROM events), h AS (SELECT unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS h FROM b) SELECT strftime(h, '%Y-%m-%d-') || hour(h) AS key, count(e.event_id) AS events FROM h LEFT JOIN events e ON date_trunc('hour', e.ts) = h GROUP BY 1""")
-def hourly_archive_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As hourly_archive, from the first event's hour to the last one's."""
+def hourly_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly keys without a leading zero, from the first event's hour to the last one's, with the events of each."""
     n = table(spark, sf_dir, "events").where("ts is not null").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     h = n.agg(F.min("h").alias("a"), F.max("h").alias("z")).select(F.explode(F.expr("sequence(a, z, interval 1 hour)")).alias("h"))
     return h.join(n, "h", "left").select(F.concat(F.date_format("h", "yyyy-MM-dd-"), F.hour("h").cast("string")).alias("key"), F.coalesce("n", F.lit(0).cast("long")).alias("events"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.plans import corpus
+from gristmill.operators._side import scratch
 from gristmill.queries._base import examples, query, table
 from gristmill.streaming import events as stream
 
@@ -22,8 +21,9 @@ def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of a stream over the events file, run to its end; days that the watermark has passed."""
-    name = f"counts_{uuid.uuid4().hex}"
+    out = scratch(spark)
     source = spark.readStream.schema(stream.SCHEMA).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    run = stream.counts(source).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    counts = stream.counts(source)
+    run = counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
     run.awaitTermination()
-    return spark.table(name).select("start", "event_type", "n", F.round("total", 6).alias("total"))
+    return spark.read.schema(counts.schema).parquet(f"{out}/rows").select("start", "event_type", "n", F.round("total", 6).alias("total"))

@@ -44,16 +44,12 @@ def strip_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(text.strip_headers(t, ("user", "assistant", "system", "note")), 256).alias("rest"))
 
 
-@query("""SELECT n_nationkey, regexp_replace('we ship to ' || lower(n_name) || 's, ' || n_name || ' and region', '(?i)\\b(' || lower(n_name) || ')s?\\b', '[REDACTED]', 'g') AS scrubbed FROM nation WHERE length(n_name) >= 4 AND n_name NOT LIKE '% %' AND NOT ends_with(n_name, 'S')""")
+@query("""WITH w AS (SELECT n_nationkey, n_name, list_transform(list_filter(string_split(lower(n_name), ' '), lambda w: length(w) >= 4), lambda w: coalesce(nullif(rtrim(w, 's'), ''), w)) AS stems FROM nation), l AS (SELECT *, 'we ship to ' || lower(n_name) || 's, ' || n_name || ' and region' AS line FROM w)
+SELECT n_nationkey, CASE WHEN len(stems) > 0 THEN regexp_replace(line, '(?i)\\b(' || array_to_string(list_reverse(list_sort(list_distinct(stems))), '|') || ')s?\\b', '[REDACTED]', 'g') ELSE line END AS scrubbed FROM l""")
 def scrub_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One literal pattern for each label, of which there are few."""
-    names = [r.n_name for r in table(spark, sf_dir, "nation").select("n_name").distinct().collect()]
+    """Each row's own label goes from its line, words of four letters or more, with or without a plural s."""
     line = F.concat(F.lit("we ship to "), F.lower("n_name"), F.lit("s, "), "n_name", F.lit(" and region"))
-    rows = table(spark, sf_dir, "nation").where("length(n_name) >= 4 AND n_name NOT LIKE '% %' AND NOT endswith(n_name, 'S')")
-    out = F.lit(None).cast("string")
-    for n in sorted(names):
-        out = F.when(F.col("n_name") == n, text.scrub(line, [n])).otherwise(out)
-    return rows.select("n_nationkey", out.alias("scrubbed"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.scrub_by(line, F.col("n_name")).alias("scrubbed"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL WHEN length(text) <= 60 THEN text WHEN instr(reverse(substr(text, 1, 60)), ' ') > 0 AND 60 - instr(reverse(substr(text, 1, 60)), ' ') > 30

@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
 
 def test_hourly_archive_counts_every_event(spark):
-    got = entry.queries()["hourly_archive_all"](spark, str(DATA))
+    got = entry.queries()["hourly_archive"](spark, str(DATA))
     assert got.agg(F.sum("events")).first()[0] == spark.read.parquet(f"{DATA}/events.parquet").count()
     assert got.count() == got.select("key").distinct().count() == 720
 
