@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of an Arrow batch while a table is written; whole texts make batches large.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scratch: list[str] = []
 _finished: list[str] = []

@@ -59,7 +59,7 @@ LIST_MOST = 20_000
 #: Entries of a block of a list, which is skipped as a whole.
 BLOCK = 32
 #: Prefix shingles of one bucket of lists, about.
-BUCKET = 1_500_000
+BUCKET = 750_000
 
 
 def _mix_sum(values: np.ndarray) -> int:

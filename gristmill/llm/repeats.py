@@ -68,7 +68,7 @@ GROUP_MOST = 5_000
 #: Anchors that go the other way (8 MB), and contexts that a task hashes windows of at once.
 HOT_MOST, HOT_SLICE = 1_000_000, 2_000
 #: Contexts of a bucket, and window hashes of a bucket of frequent anchors, about.
-BUCKET, HOT_BUCKET = 20_000, 2_000_000
+BUCKET, HOT_BUCKET = 12_000, 1_000_000
 #: So many texts and spans are broadcast to the texts (about 20 MB); for more, texts are shuffled.
 BROADCAST = 400_000
 _LOW32 = U(0xFFFFFFFF)
