@@ -257,3 +257,37 @@ def test_word_scores_are_the_kernel():
         for i, v in zip(ids[row == k].tolist(), weight[row == k].tolist(), strict=True):
             own[i] = own.get(i, 0) + v
         assert own == pytest.approx(toxicity.word_vector(x))
+
+
+def test_long_texts_and_clashing_names(spark):
+    from gristmill.llm import chat, mixing, reputation, toxicity
+
+    long = "word " * 300_000
+    clash = {c: F.lit(1) for c in ("host", "path", "rule", "verdict", "key", "digest", "found", "known", "name", "hits", "n", "held_out", "score", "f", "formatted", "loss_start")}
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None), (4, "")], DOCS).withColumns(clash)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert licences.scan(docs).count() == 4
+    rates = {r.doc_id: r.n_tokens for r in mixing.rates(docs, labels).collect()}
+    assert rates == {1: 300_000, 2: 1, 3: 0, 4: 0}
+    scored = toxicity.score(docs, labels).collect()
+    assert len(scored) == 4 and all(0 <= r.score <= 1 for r in scored)
+    pages = spark.createDataFrame([(1, "http://a.org/" + "x" * 2_000_000), (2, None), (3, "no scheme")], "page_id long, url string").withColumns(clash)
+    got = {r.page_id: (r.host, len(r.path)) for r in reputation.judge(pages, spark.createDataFrame([], "page_id long, bad boolean")).collect()}
+    assert got == {1: ("a.org", 2_000_001), 2: ("", 0), 3: ("", 0)}
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, None, None)], "conv_id long, turn long, role string, text string").withColumns({"formatted": F.lit(1)})
+    back = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.read_back(chat.format_conversations(turns)).collect()}
+    assert back == {1: (2, len(long)), 2: (1, 0)}
+
+
+def test_pipeline_on_an_empty_table_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    names = {c: F.lit(5) for c in ("row", "th", "d", "t", "n", "copies", "spans", "left")}
+    docs = spark.createDataFrame([(i, words(rng, 90), "en", "a", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long").withColumns(names)
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/full/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/full/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/full").select("doc_id").distinct().count() == 20
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/full/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
