@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RESERVED_ROWS = (11, 25)
 
@@ -47,6 +51,18 @@ def schema_key(task: Column, options: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.lit('["'), task, F.lit('",['), F.concat_ws(",", quoted), F.lit("]]")), 256), 1, 20)
 
 
+def schema_tuple(options: Column, most: int = 40) -> Column:
+    """A question's options in order as one key; those of over `most` options are all the same."""
+    return F.when(F.size(options) > most, f">{most}").otherwise(F.array_join(options, "|"))
+
+
+@F.arrow_udf(T.LongType())
+def blake2b64(values: pa.Array) -> pa.Array:
+    """The signed 64-bit blake2b digest, big endian, of a string's UTF-8 bytes; for keys that other programs made."""
+    made = (None if v is None else int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big", signed=True) for v in values.to_pylist())
+    return pa.array(list(made), pa.int64())
+
+
 def wording_split(description: Column, legacy: tuple[str, ...] = ()) -> Column:
     """A fifth of the wordings, and all legacy ones, are for evaluation."""
     draw = F.when(digest_mod(description, 1000) < 200, "eval").otherwise("train")

@@ -63,3 +63,24 @@ def decoy(options: Column, probs: Column, drop: Column, sentinel: Column) -> tup
 
 def opaque_keys(options: Column) -> Column:
     return F.transform(options, lambda o, i: F.concat(F.lit("opt_"), i.cast("string")))
+
+
+def marked(rows: DataFrame, option: str, legacy: tuple[str, ...] = ()) -> DataFrame:
+    """rows with sentinel, whether an option is one of the wordings or an old one, and its split; old ones are for evaluation."""
+    known = wordings(rows.sparkSession).withColumnsRenamed({"description": "_known", "split": "_split"})
+    found = rows.join(F.broadcast(known), F.col(option) == F.col("_known"), "left")  # a table of fixed size
+    old = F.col(option).isin(*legacy) if legacy else F.lit(False)
+    return found.select(*rows.columns, F.coalesce(F.col("_known").isNotNull() | old, F.lit(False)).alias("sentinel"), F.when(old, "eval").otherwise(F.col("_split")).alias("split"))
+
+
+def picked(rows: DataFrame, key: str, split: str, seed: int = 0) -> DataFrame:
+    """rows with a wording of a split, drawn by digest; every wording is as likely."""
+    known = [r.description for r in wordings(rows.sparkSession).where(F.col("split") == split).orderBy("description").collect()]  # at most 24,804 wordings
+    table = rows.sparkSession.createDataFrame(list(enumerate(known)), "_i long, description string")
+    drawn = rows.withColumn("_i", hashing.digest_mod(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), len(known)))
+    return drawn.join(F.broadcast(table), "_i").drop("_i")  # a table of fixed size
+
+
+def without_criteria(descriptions: Column, strip: Column) -> Column:
+    """Descriptions, or as many nulls where they are to go."""
+    return F.when(strip, F.transform(descriptions, lambda d: F.lit(None).cast("string"))).otherwise(descriptions)
