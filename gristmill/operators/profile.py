@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,10 +46,21 @@ def rejected_columns(rows: DataFrame, state: str, label: str) -> DataFrame:
     return out.withColumn("rejected", (F.col("conflicting") >= 3) & (F.col("conflicting") >= 0.2 * F.col("texts")))
 
 
+def opaque(state: Column) -> Column:
+    """Whether a state is only an address, a digest or a number."""
+    return F.regexp_like(F.trim(state), F.lit(r"^(https?://\S+|[0-9a-fA-F]{16,}|[0-9.:]+)$"))
+
+
 def unanswerable(rows: DataFrame, task: str, state: str, target: str) -> DataFrame:
     """Reason to drop a task: constant (eight rows or more), opaque, repeated, or null."""
-    opaque = F.regexp_like(F.trim(state), F.lit(r"^(https?://\S+|[0-9a-fA-F]{16,}|[0-9.:]+)$"))
-    g = rows.groupBy(task).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(target).alias("labels"), F.avg(opaque.cast("double")).alias("opaque"), F.count_distinct(F.sha2(state, 256)).alias("states"), F.percentile(F.length(state), F.lit(0.5)).alias("median"))
+    x = F.col(state)
+    made = rows.select(task, F.col(target).alias("_target"), opaque(x).alias("_opaque"), F.sha2(x, 256).alias("_key"), F.length(x).alias("_length"))
+    return unanswerable_by(made, task, "_target", "_opaque", "_key", "_length")
+
+
+def unanswerable_by(rows: DataFrame, task: str, target: str, opaque: str, key: str, length: str) -> DataFrame:
+    """As unanswerable, over each state's digest, length and whether it is opaque."""
+    g = rows.groupBy(task).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(target).alias("labels"), F.avg(F.col(opaque).cast("double")).alias("opaque"), F.count_distinct(key).alias("states"), F.percentile(length, F.lit(0.5)).alias("median"))
     reason = F.when((F.col("n") >= 8) & (F.col("labels") <= 1), "constant").when(F.col("opaque") >= 0.8, "opaque").when((F.col("states") <= 0.5 * F.col("n")) & (F.col("median") < 20), "repeated")
     return g.select(task, "n", reason.alias("reason"))
 
@@ -64,4 +75,4 @@ def opaque_share(options: str) -> object:
     return F.size(bad) / F.size(options)
 
 
-__all__ = ["columns", "keep_answerable", "label_columns", "opaque_share", "rejected_columns", "same_columns", "strings", "text_columns", "unanswerable"]
+__all__ = ["columns", "keep_answerable", "label_columns", "opaque", "opaque_share", "rejected_columns", "same_columns", "strings", "text_columns", "unanswerable", "unanswerable_by"]

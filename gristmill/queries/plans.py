@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from gristmill.plans import corpus
 from gristmill.operators._side import scratch
-from gristmill.queries._base import examples, query, table
+from gristmill.queries._base import query, table
 from gristmill.streaming import events as stream
 
 
 @query()
 def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole build; a test checks its invariants."""
-    rows = examples(spark, sf_dir).select("doc_id", "task", "domain", "state", "target")
-    return corpus.build(rows, table(spark, sf_dir, "benchmark"))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = corpus.facts(docs.select("doc_id", F.col("source").alias("task"), F.col("lang").alias("domain"), F.col("text").alias("state")))
+    rows = rows.join(labels.select("doc_id", F.col("quality").alias("target")), "doc_id")
+    return corpus.build_from(rows, docs.select("doc_id", F.col("text").alias("state")), table(spark, sf_dir, "benchmark"))
 
 
 @query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""")

@@ -184,3 +184,20 @@ def test_solved_tracker_stream(spark, tmp_path):
     q = stream.solved(rows, window=20).writeStream.outputMode("update").format("memory").queryName("solved").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.task, r.solved, r.accuracy) for r in spark.table("solved").collect()] == [("t", True, 1.0)]
+
+
+def test_corpus_build_moves_no_states(spark):
+    from gristmill.plans import corpus
+
+    def written():
+        sc, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    state = F.concat_ws("", *(F.sha2(F.concat((F.col("id") % 790).cast("string"), F.lit(i)), 256) for i in map(str, range(100))))
+    rows = spark.range(800).select(F.col("id").alias("doc_id"), F.concat(F.lit("task"), (F.col("id") % 12).cast("string")).alias("task"), F.concat(F.lit("d"), (F.col("id") % 9).cast("string")).alias("domain"), F.concat(F.lit("word "), state).alias("state"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("target"))
+    items = spark.createDataFrame([(1, "nothing of this stands in any of the states that the rows above hold at all")], "item_id long, text string")
+    before = written()
+    assert corpus.build(rows, items).count() > 300
+    assert sum(v for k, v in written().items() if k not in before) < 2_000_000  # the states have 5 MB
